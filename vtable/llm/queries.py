@@ -22,10 +22,10 @@ QUERIES = {
 SQL = {
     "op3_ngram_jaccard": rf"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), x -> x <> '') ws
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws
   FROM documents),
 g AS (
-  SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i + 3], ' '))
+  SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
                       WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END gs
   FROM w),
 s AS (SELECT DISTINCT doc_id, unnest(gs) sh FROM g),
