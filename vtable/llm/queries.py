@@ -3,23 +3,97 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
+from .decontaminate import MASKS, PERCENT, WINDOW, leaks
+from .exact import exact_dedup
 from .jaccard import jaccard_components
+from .langid import language_id
+from .mixing import mix_sources
 
 #: A-Z and a-z, for the ASCII lower-casing that the contracts ask for.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Target weights of the sources: the hot one is cut down, one is raised, the others share the rest evenly.
+WEIGHTS = {"src0": 0.1, "src1": 0.18} | {f"src{i}": 0.04 for i in range(2, 20)}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return mix_sources(docs, WEIGHTS, seed=7).withColumn("rate", F.round("rate", 9))
+
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), words=4, num=85, den=100)[0]
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    shas = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return exact_dedup(docs).join(shas, "doc_id")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = leaks(docs, read(spark, sf_dir, "benchmark")).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("words").alias("most_words"))
+    every = docs.select("doc_id").join(found, "doc_id", "left")
+    return every.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("most_words", F.lit(0)).alias("most_words"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op9_language_id": op9_language_id,
 }
 
+_MIX = ", ".join(f"('{s}', {w})" for s, w in WEIGHTS.items())
+_MASKED = " UNION ALL ".join(
+    f"""SELECT id, i, {k} k, [{", ".join(f"ws[i + {j}]" for j, bit in enumerate(m) if bit == "1")}] h
+    FROM (SELECT id, ws, unnest(range(1, len(ws) - {len(m) - 2})) i FROM {{t}} WHERE len(ws) >= {len(m)})"""
+    for k, m in enumerate(MASKS)
+)
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
 SQL = {
+    "op1_mixing": f"""
+WITH w(s, weight) AS (VALUES {_MIX}),
+c AS (SELECT coalesce(source, '') s, count(*) n FROM documents GROUP BY 1),
+r AS (SELECT s, (SELECT sum(n) FROM c JOIN w USING (s)) * weight / (SELECT sum(weight) FROM c JOIN w USING (s)) / n rate FROM c JOIN w USING (s)),
+step AS (SELECT s, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) p
+         FROM r, range(0, 120) t(k) WHERE k < rate + 40 * sqrt(rate) + 60),
+u AS (SELECT *, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 u FROM documents),
+n AS (SELECT u.doc_id, r.rate, (SELECT count(*) FROM step WHERE step.s = r.s AND step.p <= u.u) n FROM u JOIN r ON r.s = coalesce(u.source, '')),
+e AS (SELECT doc_id, rate, unnest(range(0, n)) copy FROM n)
+SELECT d.*, round(rate, 9) rate, copy::INTEGER AS copy,
+  ('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, '') || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0 shuffle_key
+FROM documents d JOIN e USING (doc_id)
+""",
+    "op4_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') t FROM documents) WINDOW same AS (PARTITION BY t)
+""",
+    "op6_decontamination": f"""
+WITH d AS (SELECT doc_id id, {_WORDS} ws FROM documents), t AS (SELECT item_id id, {_WORDS} ws FROM benchmark),
+ds AS ({_MASKED.replace("{t}", "d")}), ts AS ({_MASKED.replace("{t}", "t")}),
+hit AS (SELECT DISTINCT ds.id doc_id, ts.id item_id, ds.i - ts.i off FROM ds JOIN ts ON ds.k = ts.k AND ds.h = ts.h),
+eq AS (
+  SELECT doc_id, item_id, off, least(len(t.ws), {WINDOW}) w,
+    list_transform(range(1, len(t.ws) + 1), lambda q: CASE WHEN q + off >= 1 AND q + off <= len(d.ws) AND d.ws[q + off] = t.ws[q] THEN 1 ELSE 0 END) e
+  FROM hit JOIN d ON d.id = doc_id JOIN t ON t.id = item_id),
+leak AS (
+  SELECT doc_id, item_id, max(list_sum(e)) words FROM eq
+  WHERE len(list_filter(range(1, len(e) - w + 2), lambda s: list_sum(e[s:s + w - 1]) >= ceil(w * {PERCENT} / 100.0))) > 0
+  GROUP BY ALL),
+n AS (SELECT doc_id, count(*) n, max(words) m FROM leak GROUP BY 1)
+SELECT doc_id, n IS NOT NULL contaminated, coalesce(n, 0)::BIGINT n_items, coalesce(m, 0)::BIGINT most_words FROM documents LEFT JOIN n USING (doc_id)
+""",
     "op3_ngram_jaccard": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws
