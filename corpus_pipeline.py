@@ -3,10 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vtable.llm.common import Scratch, read
+from vtable.llm.common import Scratch, checked, read
+from vtable.llm.decontaminate import decontaminate
+from vtable.llm.exact import exact_dedup
+from vtable.llm.jaccard import jaccard_components
+from vtable.llm.langid import UNKNOWN, identify, learn
+from vtable.llm.mixing import mix_sources
+from vtable.llm.queries import WEIGHTS
 
-STAGES: list = []
+#: Documents whose likeliest language has less than this posterior probability are rejected.
+LEAST_SCORE = 0.5
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the doc_ids of gone, which are few beside docs: they are broadcast if their count allows it. A null doc_id stays."""
+    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(checked(gone, gone.count()), docs.doc_id == F.col("__gone"), "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that the labelled ones have: those without letters, or too unlike any of them, go."""
+    model = learn(docs)
+    scratch = Scratch(spark)
+    found = scratch.write(identify(docs, model), "language")
+    return _without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id stays; rows that repeat its doc_id and text count as one and all stay."""
+    return _without(docs, exact_dedup(docs).where(~F.col("kept")))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one with the smallest doc_id stays."""
+    found, _ = jaccard_components(docs, words=5, num=80, den=100)
+    return _without(docs, found.where("doc_id <> component_id"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of benchmark go."""
+    return decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the sources' target weights, shuffled."""
+    return mix_sources(docs, WEIGHTS, seed=1)
+
+
+STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_jaccard", near), ("decontamination", benchmark), ("mixing", mixture)]
+#: Hashed n-gram models have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
