@@ -11,9 +11,9 @@ from .exact import exact_dedup
 from .jaccard import jaccard_components
 from .langid import language_id
 from .mixing import mix_sources
+from .urlfilter import LOWER, UPPER, DomainRule, PatternRule, url_verdicts
+from .warc import archive
 
-#: A-Z and a-z, for the ASCII lower-casing that the contracts ask for.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Target weights of the sources: the hot one is cut down, one is raised, the others share the rest evenly.
 WEIGHTS = {"src0": 0.1, "src1": 0.18} | {f"src{i}": 0.04 for i in range(2, 20)}
@@ -24,6 +24,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, WEIGHTS, seed=7).withColumn("rate", F.round("rate", 9))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, records = archive(spark, read(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), words=4, num=85, den=100)[0]
 
@@ -34,6 +39,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).join(shas, "doc_id")
 
 
+DOMAINS = [DomainRule("net", "/", "block"), DomainRule("example.net", "/en/", "allow"), DomainRule("example.com", "/de/", "block"), DomainRule("org", "/fr/", "allow")]
+PATTERNS = [
+    PatternRule("pills", r"://(?:[^/?#]*\.)?cheap-pills\."),
+    PatternRule("casino", r"://(?:[^/?#]*\.)?casino-win\."),
+    PatternRule("bets", r"://(?:[^/?#]*\.)?free-bets\."),
+    PatternRule("farm", r"://(?:[^/?#]*\.)?spam-farm\."),
+    PatternRule("ads", r"://(?:[^/?#]*\.)?ads-track\."),
+    PatternRule("address", r"://[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+(?:[:/?#]|$)"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(read(spark, sf_dir, "pages"), DOMAINS, PATTERNS).drop("regexes")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = leaks(docs, read(spark, sf_dir, "benchmark")).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("words").alias("most_words"))
@@ -47,8 +67,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_warc": op2_warc,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_url_filter": op5_url_filter,
     "op6_decontamination": op6_decontamination,
     "op9_language_id": op9_language_id,
 }
@@ -60,6 +82,9 @@ _MASKED = " UNION ALL ".join(
     for k, m in enumerate(MASKS)
 )
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_DOMAINS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in DOMAINS)
+_PATTERNS = ", ".join(f"({i}, '{r.name}', '{r.pattern}')" for i, r in enumerate(PATTERNS))
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(sha1(p), {1 + i // 4 * 5}, 5))::BIGINT >> {15 - i % 4 * 5}) % 32, 1)" for i in range(32))
 
 SQL = {
     "op1_mixing": f"""
@@ -74,6 +99,27 @@ e AS (SELECT doc_id, rate, unnest(range(0, n)) copy FROM n)
 SELECT d.*, round(rate, 9) rate, copy::INTEGER AS copy,
   ('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, '') || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0 shuffle_key
 FROM documents d JOIN e USING (doc_id)
+""",
+    "op2_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') p FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY p) f FROM p)
+SELECT page_id, octet_length(encode(p))::BIGINT payload_bytes, {_BASE32} payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END record_type, CASE WHEN page_id <> f THEN f END refers_to
+FROM f
+""",
+    "op5_url_filter": rf"""
+WITH d(h, p, v) AS (VALUES {_DOMAINS}), r(i, name, pattern) AS (VALUES {_PATTERNS}),
+u AS (
+  SELECT page_id, coalesce(url, '') url, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END rest FROM pages),
+s AS (
+  SELECT page_id, translate(url, '{UPPER}', '{LOWER}') url, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path
+  FROM u),
+b AS (
+  SELECT page_id, max_by(h || p, length(h || p)) rule, max_by(v, length(h || p)) v FROM s JOIN d
+  ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+m AS (SELECT page_id, min_by(name, i) pattern FROM s JOIN r ON regexp_matches(url, r.pattern) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN m.pattern IS NULL THEN 'allow' ELSE 'block' END) verdict, CASE WHEN rule IS NULL THEN m.pattern END pattern
+FROM s LEFT JOIN b USING (page_id) LEFT JOIN m USING (page_id)
 """,
     "op4_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
