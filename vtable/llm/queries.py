@@ -10,7 +10,10 @@ from .decontaminate import MASKS, PERCENT, WINDOW, leaks
 from .exact import exact_dedup
 from .jaccard import jaccard_components
 from .langid import language_id
+from .licenses import license_scan
 from .mixing import mix_sources
+from .quality import quality_scores
+from .tokens import load_pieces, token_counts
 from .urlfilter import LOWER, UPPER, DomainRule, PatternRule, url_verdicts
 from .warc import archive
 
@@ -61,10 +64,26 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("most_words", F.lit(0)).alias("most_words"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents"))
 
 
+#: Where the vocabulary files of public tokenizers are, and the one whose pieces and scores are counted with.
+TOKENIZERS, MODEL = "/opt/tokenizers", "piece_bpe_32k.model"
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), load_pieces(f"{TOKENIZERS}/{MODEL}"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
@@ -72,7 +91,10 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_decontamination": op6_decontamination,
+    "op7_license_scan": op7_license_scan,
+    "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
+    "op10_token_counts": op10_token_counts,
 }
 
 _MIX = ", ".join(f"('{s}', {w})" for s, w in WEIGHTS.items())
