@@ -12,8 +12,10 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, binary_list, checked, components, mix, runs, shingle_sets, slices
 
-#: Members of a group that are opened in one task; a larger group is dealt out in so large blocks.
-BLOCK = 256
+#: Members of a signature's group, and tokens in all, that one task holds at most; larger groups are dealt out in so large blocks.
+BLOCK, BLOCK_TOKENS = 4096, 2_000_000
+#: Sets whose token union is a column of the matrix.
+GROUP = 16
 #: Documents in the sample that finds signatures shared by very many documents, and how often they are there. It steers only the route
 #: that a signature's rows take, never the result.
 SAMPLE, OFTEN = 20_000, 20
@@ -129,45 +131,48 @@ def set_rows(words: int, num: int, den: int):
     return rows
 
 
-class Groups:
-    """A token-group matrix: groups of linked members, each with the union of its members' tokens."""
+def link_block(sets: list[np.ndarray], query: np.ndarray, t: Threshold) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links among the sets of a block, and the component of each; both by position. Queries are not compared with each other.
 
-    def __init__(self, t: Threshold):
-        self.t, self.members, self.unions = t, [], []
-
-    def add(self, name: int, tokens: np.ndarray, join: bool = True) -> list[tuple[int, int]]:
-        """Links of a query to one member of each group that it is similar to; with join it then becomes a member.
-
-        A similar member holds t.least(n) of the query's n tokens, and so does its group's union: other groups stay closed.
-        """
-        n, links, linked = len(tokens), [], []
-        need = self.t.least(n)
-        for g, union in enumerate(self.unions):
-            if len(union) < need or common(union, tokens) < need:
+    A token-group matrix: sets in the order of their least tokens, which similar sets mostly share, are cut into groups of GROUP; for each
+    token the matrix has the groups whose union holds it. A set similar to a query holds t.least(n) of its n tokens, and so does its group:
+    the query's overlap with every group is read off the matrix, and only groups with enough are opened and compared set by set. Of the links
+    to one component the first is given.
+    """
+    order = sorted(range(len(sets)), key=lambda i: sets[i][:2].tolist())
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    ends = np.cumsum(sizes)
+    tokens, cols = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    group = np.arange(len(order)) // GROUP
+    n_groups = int(group[-1]) + 1
+    cells = np.unique(cols * n_groups + np.repeat(group, sizes))
+    held = cells % n_groups
+    ptr = np.searchsorted(cells, np.arange(len(tokens) + 1) * n_groups)
+    asks = query[order]
+    comp = np.arange(len(order))
+    inside = np.zeros(len(tokens), bool)
+    links = []
+    for i in range(len(order)):
+        own = cols[ends[i] - sizes[i] : ends[i]]
+        lo, n = ptr[own], ptr[own + 1] - ptr[own]
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        bound = np.bincount(held[at], minlength=n_groups)
+        inside[own] = True
+        for g in np.flatnonzero(bound[: group[i] + 1] >= t.least(sizes[i])):
+            first, last = g * GROUP, min((g + 1) * GROUP, i)
+            if first >= last:
                 continue
-            for other, set_ in self.members[g]:
-                a = len(set_)
-                if self.t.den * min(a, n) >= self.t.num * max(a, n) and self.t.similar(common(set_, tokens), a, n):
-                    links.append((name, other))
-                    linked.append(g)
-                    break
-        if join:
-            members = [m for g in linked for m in self.members[g]] + [(name, tokens)]
-            union = np.unique(np.concatenate([tokens, *[self.unions[g] for g in linked]])) if linked else tokens
-            for g in reversed(linked):
-                del self.members[g], self.unions[g]
-            self.members.append(members)
-            self.unions.append(union)
-        return links
-
-
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """How many numbers two sorted arrays without repeats share."""
-    if len(a) < len(b):
-        a, b = b, a
-    at = np.searchsorted(a, b)
-    at[at == len(a)] = 0
-    return int((a[at] == b).sum()) if len(a) else 0
+            from_ = ends[first] - sizes[first]
+            both = np.add.reduceat(inside[cols[from_ : ends[last - 1]]].astype(np.int64), ends[first:last] - sizes[first:last] - from_)
+            similar = (t.den * both >= t.num * (sizes[first:last] + sizes[i] - both)) & ~(asks[first:last] & asks[i])
+            for j in (np.flatnonzero(similar) + first).tolist():
+                if comp[j] != comp[i]:
+                    links.append((order[i], order[j]))
+                    comp[comp == comp[i]] = comp[j]
+        inside[own] = False
+    out = np.empty(len(order), np.int64)
+    out[order] = comp
+    return links, out
 
 
 LINKS = "a long, b long, pivot long, lost long"
@@ -187,13 +192,10 @@ def link_rows(words: int, num: int, den: int):
             texts = [x for c in table.column("text").chunks for x in binary_list(c)]
             flat, sizes = shingle_sets(texts, words)
             ends = np.cumsum(sizes)
-            order = sorted(range(len(ids)), key=lambda i: (query[i], -head[i], ids[i]))
-            groups, links = Groups(t), []
-            for i in order:
-                links += groups.add(ids[i], flat[ends[i] - sizes[i] : ends[i]], join=not query[i])
-            lost = []
-            if blocks > 1 and not any(query):
-                lost = [m for g in groups.members if not any(h and x == m for m, _ in g for x, h in zip(ids, head, strict=True)) for m, _ in g]
+            found, comp = link_block([flat[e - n : e] for e, n in zip(ends, sizes, strict=True)], np.array(query), t)
+            links = [(ids[i], ids[j]) for i, j in found]
+            heads = {comp[i] for i, h in enumerate(head) if h}
+            lost = [x for x, c in zip(ids, comp, strict=True) if c not in heads] if blocks > 1 and not any(query) else []
             a, b = [x for x, _ in links] + [None] * len(lost), [y for _, y in links] + [None] * len(lost)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([table.column("pivot")[0].as_py()] * len(a), pa.int64()), pa.array([None] * len(links) + lost, pa.int64())], names=["a", "b", "pivot", "lost"])
 
@@ -225,10 +227,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     Two documents are linked when the Jaccard similarity of their sets of distinct word shingles is num / den or more; component_id is the
     smallest doc_id that links lead to. Tokens are 64-bit hashes of shingles.
 
-    Token-group matrix: equal sets count once. Sets that share a signature (see Threshold) make a group around the least of them, so any
-    two similar sets are in a group. A group is split into subgroups of linked members, each with its token union; a query opens only the
-    subgroups whose union holds enough of its tokens, and only opened members are compared. Groups of over BLOCK members are dealt out
-    in blocks, each with the group's head; what is not linked with the head in its block is a query to the other blocks.
+    Token-group matrix: equal sets count once. Sets that share a signature (see Threshold) meet around the least of them, so any two similar
+    sets meet. Those that meet are partitioned into groups of similar sets with a token union each; a query opens only the groups whose
+    union holds enough of its tokens (see link_block). Where over BLOCK sets, or BLOCK_TOKENS tokens, meet, they are dealt out in
+    blocks, each with the least set; what is not linked with that in its block is a query to the other blocks.
 
     Nulls, empty texts and texts of white space have an empty set: n_shingles 0, linked with nothing, component_id their own doc_id. Rows with
     the same doc_id and rows without one are each returned; a null doc_id joins no component. Other columns are not read. An empty table gives
@@ -239,13 +241,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     sets = scratch.write(docs.mapInArrow(set_rows(words, num, den), "doc_id long, n long, k1 long, k2 long, sigs array<long>"), "sets")
     total = sets.count()
     keyed = sets.where("k1 is not null and doc_id is not null")
-    kinds = scratch.write(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "kinds")
+    kinds = scratch.write(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "kinds")
     near = scratch.write(shared_signatures(sets.where("doc_id is not null"), total), "near")
     # two different sets may have the same k1: each has its own row here
-    members = scratch.write(near.join(kinds, "k1").selectExpr("pivot", "rep", "k1 = pivot head"), "members")
-    sizes = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = scratch.write(near.join(kinds, "k1").selectExpr("pivot", "rep", "n", "k1 = pivot head"), "members")
+    sizes = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     placed = members.join(sizes, "pivot").withColumn("block", F.explode(F.when(F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))))
-    placed = scratch.write(placed.selectExpr("pivot", "block", "blocks", "0 part", "rep", "head", "false query"), "placed")
+    placed = scratch.write(placed.selectExpr("pivot", "block", "blocks", "0 part", "rep", "n", "head", "false query"), "placed")
 
     def linked(rows: DataFrame) -> DataFrame:
         texts = docs.join(checked(rows, rows.count()), docs.doc_id == rows.rep).drop("rep")
@@ -255,8 +257,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     first = scratch.write(linked(placed), "links")
     edges, lost = first.where("a is not null").select("a", "b"), first.where("lost is not null").selectExpr("pivot", "lost rep")
     if not lost.isEmpty():
-        lost = lost.join(placed.where("not head").select("pivot", "rep", "block", "blocks"), ["pivot", "rep"])
-        number = lost.join(lost.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "pivot")
+        lost = lost.join(placed.where("not head").select("pivot", "rep", "n", "block", "blocks"), ["pivot", "rep"])
+        number = lost.join(lost.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("parts")), "pivot")
         number = number.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int"))
         asks = number.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block").selectExpr("pivot", "to block", "blocks", "part", "rep", "false head", "true query")
         bases = placed.join(asks.select("pivot", "block", F.col("part").alias("p")).distinct(), ["pivot", "block"]).selectExpr("pivot", "block", "blocks", "p part", "rep", "head", "query")
