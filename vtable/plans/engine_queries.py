@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..kv import KV
 from ..operators import resolve
+from ..sources import files
 from ..sources.options import Options
 from ..sources.schema import TableSchema
 from ..sources.workspace import new_folder, read
@@ -200,3 +201,26 @@ def replayed_change_log(spark, sf_dir):
         piece = log.where(F.col("event_id").between(k * top // 4 + (k > 0), (k + 1) * top // 4))
         t.write(resolve.newest(piece, ["user_id"], "event_id").drop("event_id"))
     return t.read()
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 5 = {i}" for i, k in enumerate(("csv", "tsv", "json", "orc", "parquet"))))
+def file_formats(spark, sf_dir):
+    """Each fifth of a table written in a format and read back."""
+    customer, folder, out = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), new_folder(spark), None
+    for i, kind in enumerate(("csv", "tsv", "json", "orc", "parquet")):
+        files.save(customer.where(f"c_custkey % 5 = {i}"), f"{folder}/x.{kind}")
+        one = files.load(spark, f"{folder}/x.{kind}", customer.schema).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 1")
+def change_feed_stored(spark, sf_dir):
+    """The rows of one commit out of three, by the change feed's data source."""
+    from ..streaming.source import register
+
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    t = Table.create(spark, new_folder(spark), TableSchema.of("orders", rows.schema, ["o_orderkey"]), options=Options(sync="OFF"))
+    at = [t.insert(rows.where(f"o_orderkey % 3 = {k}")) for k in range(3)]
+    register(spark)
+    return spark.read.format("vtable_changes").option("after", at[0]).option("until", at[1]).load(t.path).drop("_v", "_d")

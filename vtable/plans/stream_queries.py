@@ -13,6 +13,7 @@ from ..sources.schema import TableSchema
 from ..sources.workspace import new_folder, read
 from ..streaming import windows
 from ..streaming.sink import write_to
+from ..streaming.stateful import running_totals
 from ..table import Table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +77,13 @@ def stream_upsert(spark, sf_dir):
     table = Table.create(spark, f"{folder}/t", TableSchema.of("events", stream.select("user_id", "event_type", "value").schema, ["user_id"]), options=Options(sync="OFF"))
     write_to(stream, table, f"u{uuid.uuid4().hex}", f"{folder}/cp", order="event_id").trigger(availableNow=True).start().awaitTermination()
     return table.read()
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def stream_stateful(spark, sf_dir):
+    """Running totals by user; each micro-batch's go to a table, whose last word on a user is the total."""
+    folder = new_folder(spark)
+    totals = running_totals(events(spark, sf_dir), "user_id", "value")
+    table = Table.create(spark, f"{folder}/t", TableSchema.of("totals", totals.schema, ["user_id"]), options=Options(sync="OFF"))
+    write_to(totals, table, f"t{uuid.uuid4().hex}", f"{folder}/cp").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return table.read().withColumn("total", F.round("total", 4))

@@ -550,6 +550,11 @@ class Table:
         log.info("compacted %d files into %d at level %d", len(removed), len(added), level)
         return version
 
+    def flush(self) -> int | None:
+        """Merges level 0 into level 1 if there is any; commits themselves are durable at once."""
+        rows = [f for f in self.log.head().files.values() if not f.index]
+        return self.compact(everything=all(not f.level for f in rows)) if any(not f.level for f in rows) else None
+
     def vacuum(self) -> list[str]:
         """Deletes data that no readable version needs: files that the newest state doesn't name. Writers must not be at work."""
         live = {f.path.rsplit("/", 1)[0] for f in self.log.head().files.values()}
