@@ -9,13 +9,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has been counted and holds at most so many rows of a few machine words.
 BROADCAST_ROWS = 1_000_000
 #: Text bytes that one step of the numpy code works on; a longer single text is still taken whole.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+#: Rows and bytes of an Arrow batch at most, so that an executor's Python workers hold little of long texts at a time.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -33,6 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to BATCH_ROWS and BATCH_BYTES; the operators that send texts to Python call this."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(limit)) <= BATCH_ROWS:
+        spark.conf.set(limit, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage; they outlive lost executors. drop() deletes those no longer read."""
 
@@ -70,16 +81,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: list[bytes | None], max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about max_bytes."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= max_bytes:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes | None]]]:
+    """Slices of a column of strings as UTF-8 bytes, about max_bytes each, with the row that each begins at."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + max_bytes, "right")))
+        yield lo, binary_list(column.slice(lo, hi - lo))
+        lo = hi
 
 
 def binary_list(column: pa.Array) -> list[bytes | None]:

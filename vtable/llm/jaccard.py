@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, binary_list, checked, components, mix, runs, shingle_sets, slices
+from .common import Scratch, binary_list, bounded_batches, checked, components, mix, runs, shingle_sets, text_slices
 
 #: Members of a signature's group, and tokens in all, that one task holds at most; larger groups are dealt out in so large blocks.
 BLOCK, BLOCK_TOKENS = 4096, 2_000_000
@@ -110,9 +110,8 @@ def set_rows(words: int, num: int, den: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Threshold(num, den)
         for b in batches:
-            texts = binary_list(b.column(1))
-            for lo, hi in slices(texts):
-                flat, sizes = shingle_sets(texts[lo:hi], words)
+            for lo, texts in text_slices(b.column(1)):
+                flat, sizes = shingle_sets(texts, words)
                 ends = np.cumsum(sizes)
                 keys = []
                 for salt in (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)):
@@ -126,7 +125,7 @@ def set_rows(words: int, num: int, den: int):
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(sets, minlength=len(sizes))))).astype(np.int32)
                 none = pa.array(sizes == 0)
                 keys = [pa.array(k, mask=none.to_numpy(zero_copy_only=False)) for k in keys]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes), *keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.view(np.int64)))], schema=SETS)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)).cast(pa.int64()), pa.array(sizes), *keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.view(np.int64)))], schema=SETS)
 
     return rows
 
@@ -237,6 +236,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     an empty result.
     """
     scratch = Scratch(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = scratch.write(docs.mapInArrow(set_rows(words, num, den), "doc_id long, n long, k1 long, k2 long, sigs array<long>"), "sets")
     total = sets.count()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import bounded_batches, mix, text_slices
 
 #: Lengths of the n-grams; together they have 2 ** BITS buckets.
 LENGTHS, BITS = (1, 2, 3), 16
@@ -76,10 +76,9 @@ class Model:
         return [self.langs[b] if x else UNKNOWN for b, x in zip(best.tolist(), ok.tolist(), strict=True)], np.where(ok, score, 0.0)
 
 
-def _text_slices(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    texts = column.to_pylist()
-    for lo, hi in slices(texts, 1_000_000):
-        yield lo, texts[lo:hi]
+def _texts(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    for lo, texts in text_slices(column, 300_000):
+        yield lo, [None if t is None else t.decode() for t in texts]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +86,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for b in batches:
         langs = b.column(0).to_pylist()
-        for lo, texts in _text_slices(b.column(1)):
+        for lo, texts in _texts(b.column(1)):
             bucket, counts, _ = grams(texts)
             ends = np.cumsum(counts)
             for i, lang in enumerate(langs[lo : lo + len(texts)]):
@@ -102,6 +101,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Counts n-grams of the labelled rows that have a language, or of a hashed sample of about sample of them. The driver gets 2 ** BITS sums
     for each language."""
+    bounded_batches(labelled.sparkSession)
     labelled = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id")).where("lang is not null and text is not null")
     share = min(1.0, sample / max(1, labelled.count()))
     drawn = labelled.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1_000_003)) < share * 1_000_003)
@@ -123,11 +123,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
     The whole text counts. Null texts and texts without a letter are UNKNOWN with score 0, and so is everything if the model has learned no
     language. The first language in alphabetical order wins ties. Repeated rows are each returned, null doc_ids too; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, texts in _text_slices(b.column(1)):
+            for lo, texts in _texts(b.column(1)):
                 names, scores = sent.value.predict(texts) if sent.value.langs else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, hash_words, mix, slices
+from .common import bounded_batches, hash_words, mix, text_slices
 
 #: Notices of public licenses, by SPDX identifier.
 NOTICES = [
@@ -141,13 +141,14 @@ def license_scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, word
     Whole texts are scanned where they are, nothing is shuffled. Nulls, empty texts and texts of fewer than words words hold nothing.
     Repeated rows and null doc_ids are each scanned; other columns are not read. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     t = Templates.of(notices, words, contained)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), binary_list(b.column(1))
-            for lo, hi in slices(texts):
-                found = list(t.scan(texts[lo:hi]))
+            ids = b.column(0).to_pylist()
+            for lo, texts in text_slices(b.column(1)):
+                found = list(t.scan(texts))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[lo + i] for i, *_ in found], pa.int64()), pa.array([k for _, k, *_ in found], pa.int32()), pa.array([t.names[k] for _, k, *_ in found], pa.string()), pa.array([s for *_, s, _ in found], pa.float64()), pa.array([w for *_, w in found], pa.int64())],
                     names=["doc_id", "template", "license", "containment", "word"],

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, mix, slices
+from .common import bounded_batches, mix, text_slices
 
 #: Stands before each pre-token.
 SPACE = "▁"
@@ -121,19 +121,19 @@ def token_counts(docs: DataFrame, pieces: dict[str, float], text: str = "text",
 
     Nulls and texts without words count 0. Repeated rows and null doc_ids are each returned; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.of(pieces))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = binary_list(b.column(1))
-            for lo, hi in slices(texts, TRIE_BYTES):
-                split = [t.split() if t else [] for t in texts[lo:hi]]
+            for lo, texts in text_slices(b.column(1), TRIE_BYTES):
+                split = [t.split() if t else [] for t in texts]
                 counts = np.array([len(s) for s in split], np.int64)
                 flat = np.empty(int(counts.sum()), object)
                 flat[:] = [w for s in split for w in s]
                 code, distinct = pd.factorize(flat)
                 each = count_words(list(distinct), sent.value)[code] if len(flat) else np.zeros(0, np.int64)
-                sums = np.bincount(np.repeat(np.arange(hi - lo), counts), weights=each, minlength=hi - lo).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(counts), pa.array(sums)], names=["doc_id", "n_pretokens", "n_tokens"])
+                sums = np.bincount(np.repeat(np.arange(len(texts)), counts), weights=each, minlength=len(texts)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array(counts), pa.array(sums)], names=["doc_id", "n_pretokens", "n_tokens"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, n_pretokens long, n_tokens long")

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bounded_batches
 
 #: Magic number of the skippable frame that holds a dictionary.
 DICT_MAGIC = 0x184D2A5D
@@ -152,6 +152,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes:
     out of the URI. Rows that repeat a response's page_id and payload are responses as well. Other columns are not read; an empty table
     gives no archives.
     """
+    bounded_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     pages = pages.withColumn("sha", F.sha1("payload"))
     first = pages.groupBy("sha").agg(F.min("page_id").alias("first")).withColumnRenamed("sha", "sha_")
