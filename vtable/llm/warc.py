@@ -115,17 +115,18 @@ def read_archive(source) -> Iterator[Record]:
     unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
     rest = b""
     while True:
-        frame, whole = unpack.decompressobj(), b""
+        frame, whole, begun = unpack.decompressobj(), [], False
         while not frame.eof:
             data = rest or source.read(1 << 20)
             rest = b""
             if not data:
-                if whole or frame.unused_data:
+                if begun:
                     raise ValueError("the archive ends within a record")
                 return
-            whole += frame.decompress(data)
+            begun = True
+            whole.append(frame.decompress(data))
         rest = frame.unused_data
-        yield Record.decode(whole)
+        yield Record.decode(b"".join(whole))
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
