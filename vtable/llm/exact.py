@@ -26,14 +26,15 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pre
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = scratch.write(docs.select("doc_id", F.octet_length("text").alias("len"), F.xxhash64(F.substring("text", 1, prefix)).alias("pre")), "rows")
 
-    lengths = rows.groupBy("len").count().where("count > 1").select("len")
-    starts = rows.join(lengths, "len").groupBy("len", "pre").count().where("count > 1").select("len", "pre")
-    left = scratch.write(rows.join(starts, ["len", "pre"]).select("doc_id").distinct(), "left")
+    lengths = scratch.write(rows.groupBy("len").count().where("count > 1").select("len"), "lengths")
+    starts = rows.join(checked(lengths, lengths.count()), "len").groupBy("len", "pre").count().where("count > 1").select("len", "pre")
+    starts = scratch.write(starts, "starts")
+    left = scratch.write(rows.join(checked(starts, starts.count()), ["len", "pre"]).select("doc_id").distinct(), "left")
     full = docs.join(checked(left, left.count()), docs.doc_id.eqNullSafe(left.doc_id), "left_semi").select("doc_id", F.octet_length("text").alias("len"), F.sha2("text", 256).alias("sha"))
     full = scratch.write(full, "full")
     groups = full.groupBy("len", "sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     found = full.distinct().join(groups, ["len", "sha"]).select("doc_id", "keep_id", "group_size")
     alone = rows.join(left.withColumn("seen", F.lit(True)), rows.doc_id.eqNullSafe(left.doc_id), "left").where("seen is null").select(rows.doc_id, rows.doc_id.alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     out = scratch.write(alone.unionByName(found).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))), "out")
-    scratch.drop("rows", "left", "full")
+    scratch.drop("rows", "lengths", "starts", "left", "full")
     return out
