@@ -11,7 +11,8 @@ def ifnull(a: Column, b: Column) -> Column:
 
 
 def instr(text: Column, part: Column) -> Column:
-    return F.locate(part, text).cast("long") if isinstance(part, str) else F.expr("0").cast("long") + F.call_function("instr", text, part)
+    """Where part begins in text, from 1 on; 0 if it isn't there."""
+    return F.call_function("instr", text, part).cast("long")
 
 
 def glob(text: Column, pattern: str) -> Column:

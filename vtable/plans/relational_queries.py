@@ -128,7 +128,7 @@ def agg_approx(spark, sf_dir):
 
 # windows, order, sets -------------------------------------------------------------------------------------------------------------
 
-sql("win_rank", "SELECT o_orderkey, rank() OVER w::BIGINT AS r, dense_rank() OVER w::BIGINT AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::BIGINT AS n FROM orders WHERE o_custkey < 60 WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderstatus)".replace("OVER w::BIGINT", "OVER w"), "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders WHERE o_custkey < 60 WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderstatus)")
+sql("win_rank", "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders WHERE o_custkey < 60 WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderstatus)")
 sql("win_distribution", "SELECT s_suppkey, round(percent_rank() OVER w, 6) AS p, round(cume_dist() OVER w, 6) AS c FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal)")
 sql("win_lag_lead", "SELECT event_id, lag(event_id) OVER w AS before, lead(event_id, 2) OVER w AS later, first_value(event_id) OVER w AS first FROM events WHERE user_id < 30 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 sql("win_nth", "SELECT event_id, nth_value(event_id, 2) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM events WHERE user_id < 30")
@@ -192,10 +192,16 @@ sql("fn_binary_hex", "SELECT c_custkey, hex(c_name) AS h, md5(c_name) AS m, sha2
 sql("fn_cast", "SELECT o_orderkey, o_totalprice::VARCHAR IS NOT NULL AS v, TRY_CAST(o_orderpriority AS BIGINT) AS n, TRY_CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS d, trunc(o_totalprice)::BIGINT AS t FROM orders", "SELECT o_orderkey, cast(o_totalprice AS string) IS NOT NULL AS v, try_cast(o_orderpriority AS bigint) AS n, try_cast(substr(o_orderpriority, 1, 1) AS bigint) AS d, cast(o_totalprice AS bigint) AS t FROM orders")
 
 
-@query("SELECT p_partkey, p_name GLOB '*r[aeiou]*' AS g, lower(p_name) LIKE lower('%RED%') AS l, p_size // 4 AS q, coalesce(nullif(p_size, 7), -1) AS i FROM part")
+@query("SELECT p_partkey, p_name GLOB '*r[aeiou]*' AS g, lower(p_name) LIKE lower('%RED%') AS l, p_size // 4 AS q, coalesce(nullif(p_size, 7), -1) AS i, instr(p_name, 't')::BIGINT AS t FROM part")
 def fn_dialect(spark, sf_dir):
     p = read(spark, sf_dir, "part")
-    return p.select("p_partkey", dialect.glob(F.col("p_name"), "*r[aeiou]*").alias("g"), dialect.like_nocase(F.col("p_name"), "%RED%").alias("l"), dialect.truncating_divide(F.col("p_size"), F.lit(4)).alias("q"), dialect.ifnull(F.nullif("p_size", F.lit(7)), F.lit(-1)).alias("i"))
+    return p.select("p_partkey", dialect.glob(F.col("p_name"), "*r[aeiou]*").alias("g"), dialect.like_nocase(F.col("p_name"), "%RED%").alias("l"), dialect.truncating_divide(F.col("p_size"), F.lit(4)).alias("q"), dialect.ifnull(F.nullif("p_size", F.lit(7)), F.lit(-1)).alias("i"), dialect.instr(F.col("p_name"), F.lit("t")).alias("t"))
+
+
+@query("SELECT c_mktsegment, coalesce(sum(CASE WHEN c_acctbal < -5000 THEN c_acctbal END), 0.0) AS t FROM customer GROUP BY c_mktsegment")
+def fn_total(spark, sf_dir):
+    customer = read(spark, sf_dir, "customer")
+    return customer.groupBy("c_mktsegment").agg(dialect.total(F.when(F.col("c_acctbal") < -5000, F.col("c_acctbal"))).alias("t"))
 
 
 @query("SELECT c_custkey, regexp_replace(regexp_replace(hex(c_name), '(..)', '\\1 ', 'g'), '00 ', '00FF ', 'g') || '00' AS escaped FROM customer")
