@@ -299,3 +299,18 @@ def test_commit_names(spark, path):
     t = Table.create(spark, path)
     t.insert([(b"k", b"v")])
     assert json.loads(t.store.read(f"_log/{2:020d}.json"))["version"] == 2
+
+
+def test_written_states(spark, path, monkeypatch):
+    from vtable.sources import log
+
+    monkeypatch.setattr(log, "EVERY", 3)
+    t = Table.create(spark, path, "id INT PRIMARY KEY, v INT")
+    for k in range(6):
+        t.insert([(k % 3, k)], batch=f"b{k}")
+    want = rows(t.read(4))
+    read = []
+    monkeypatch.setattr(log.Log, "commit_at", lambda self, v, f=log.Log.commit_at: read.append(v) or f(self, v))
+    u = Table(spark, path)
+    assert read == [7] and u.version == 7 and rows(u.read(4)) == want and rows(u.read()) == rows(t.read())
+    assert u.insert([(9, 9)], batch="b1") is None and u.log.at(5).files.keys() < u.log.head().files.keys()
