@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import common
 from .common import Scratch, binary_list, bounded_batches, checked, components, mix, runs, shingle_sets, text_slices
 
 #: Members of a signature's group, and tokens in all, that one task holds at most; larger groups are dealt out in so large blocks.
@@ -201,23 +202,44 @@ def link_rows(words: int, num: int, den: int):
     return rows
 
 
-def shared_signatures(sets: DataFrame, rows: int) -> DataFrame:
-    """k1, pivot: the sets that share a signature with others, and the least of those; the pivots themselves are among k1.
+def head_rows(signature: np.ndarray, pivot: np.ndarray):
+    """For mapInArrow: k1 and sigs to k1 and the pivots of those of its signatures that are in signature (sorted), each once a batch."""
 
-    Signatures that a bounded sample of the sets shows to be shared by very many sets are few (at most SAMPLE times the signatures of a
-    set over OFTEN); their pivots are found by a map-side combined aggregate and joined back without a shuffle. The rest meet by a
-    shuffle on the signature.
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            at = np.minimum(np.searchsorted(signature, flat), len(signature) - 1)
+            hit = signature[at] == flat
+            pairs = np.unique(np.stack([b.column(0).to_numpy(zero_copy_only=False)[owner[hit]], pivot[at[hit]]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["k1", "pivot"])
+
+    return rows
+
+
+def shared_signatures(scratch: Scratch, sets: DataFrame, rows: int) -> DataFrame:
+    """k1, pivot: the sets that share a signature with others, and one of those that stands for them; pivots themselves are among k1.
+
+    Signatures that a bounded sample of the sets shows to be shared by very many sets have their least set in the sample as the pivot. They
+    are counted; within the limit of broadcasts each set looks its pivots up where it is, so a set's many frequent signatures become a few
+    rows before anything is shuffled. The rest meet by a shuffle on the signature, and the least set is the pivot.
     """
-    every = sets.where("k1 is not null").select("k1", F.explode("sigs").alias("sig"))
+    sets = sets.where("k1 is not null")
+    every = sets.select("k1", F.explode("sigs").alias("sig"))
     share = min(1.0, SAMPLE / max(rows, 1))
-    sample = sets.where((F.col("k1") % 1_000_000_007).between(-int(share * 1_000_000_007), int(share * 1_000_000_007)))
-    often = sample.select(F.explode("sigs").alias("sig")).groupBy("sig").count().where(f"count >= {OFTEN}").select("sig")
-    often = F.broadcast(often)
-    hot = every.join(often, "sig")
-    heads = hot.groupBy("sig").agg(F.min("k1").alias("pivot"))
+    sample = every.where((F.col("k1") % 1_000_000_007).between(-int(share * 1_000_000_007), int(share * 1_000_000_007)))
+    heads = scratch.write(sample.groupBy("sig").agg(F.min("k1").alias("pivot"), F.count("*").alias("n")).where(f"n >= {OFTEN}").select("sig", "pivot"), "heads")
+    few = heads.count()
+    if not few:
+        hot = sets.select("k1", F.col("k1").alias("pivot")).limit(0)
+    elif few <= common.BROADCAST_ROWS:
+        table = heads.toArrow().sort_by("sig")
+        hot = sets.select("k1", "sigs").mapInArrow(head_rows(table["sig"].to_numpy(), table["pivot"].to_numpy()), "k1 long, pivot long")
+    else:
+        hot = every.join(heads, "sig").select("k1", "pivot")
     by_sig = Window.partitionBy("sig")
-    rest = every.join(often, "sig", "left_anti").select("k1", F.min("k1").over(by_sig).alias("pivot"), F.max("k1").over(by_sig).alias("last"))
-    return hot.join(F.broadcast(heads), "sig").select("k1", "pivot").unionByName(rest.where("pivot < last").select("k1", "pivot")).distinct()
+    rest = every.join(checked(heads.select("sig"), few), "sig", "left_anti").select("k1", F.min("k1").over(by_sig).alias("pivot"), F.max("k1").over(by_sig).alias("last"))
+    return hot.unionByName(rest.where("pivot < last").select("k1", "pivot")).distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -226,10 +248,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     Two documents are linked when the Jaccard similarity of their sets of distinct word shingles is num / den or more; component_id is the
     smallest doc_id that links lead to. Tokens are 64-bit hashes of shingles.
 
-    Token-group matrix: equal sets count once. Sets that share a signature (see Threshold) meet around the least of them, so any two similar
+    Token-group matrix: equal sets count once. Sets that share a signature (see Threshold) meet around one of them, so any two similar
     sets meet. Those that meet are partitioned into groups of similar sets with a token union each; a query opens only the groups whose
     union holds enough of its tokens (see link_block). Where over BLOCK sets, or BLOCK_TOKENS tokens, meet, they are dealt out in
-    blocks, each with the least set; what is not linked with that in its block is a query to the other blocks.
+    blocks, each with the set that they meet around; what is not linked with that in its block is a query to the other blocks.
 
     Nulls, empty texts and texts of white space have an empty set: n_shingles 0, linked with nothing, component_id their own doc_id. Rows with
     the same doc_id and rows without one are each returned; a null doc_id joins no component. Other columns are not read. An empty table gives
@@ -242,7 +264,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     total = sets.count()
     keyed = sets.where("k1 is not null and doc_id is not null")
     kinds = scratch.write(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "kinds")
-    near = scratch.write(shared_signatures(sets.where("doc_id is not null"), total), "near")
+    near = scratch.write(shared_signatures(scratch, sets.where("doc_id is not null"), total), "near")
     # two different sets may have the same k1: each has its own row here
     members = scratch.write(near.join(kinds, "k1").selectExpr("pivot", "rep", "n", "k1 = pivot head"), "members")
     sizes = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
@@ -269,5 +291,5 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     slim = sets.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
     out = slim.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.expr("case when doc_id is not null then coalesce(comp, doc_id) end").alias("component_id"))
     out, edges = scratch.write(out, "out"), scratch.write(edges.distinct(), "edges")
-    scratch.drop("sets", "kinds", "near", "members", "placed", "links", "links2", "asked", "labels")
+    scratch.drop("sets", "kinds", "near", "heads", "members", "placed", "links", "links2", "asked", "labels")
     return out, edges
