@@ -10,7 +10,7 @@ from .decontaminate import MASKS, PERCENT, WINDOW, leaks
 from .exact import exact_dedup
 from .jaccard import jaccard_components
 from .langid import language_id
-from .licenses import license_scan
+from .licenses import BLOCK, CONTAINED, NOTICES, license_scan
 from .mixing import mix_sources
 from .quality import quality_scores
 from .tokens import load_pieces, token_counts
@@ -104,6 +104,9 @@ _MASKED = " UNION ALL ".join(
     for k, m in enumerate(MASKS)
 )
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_NOTICES = ", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate(NOTICES))
+_TERMS = rf"list_filter(regexp_split_to_array(translate(coalesce({{}}, ''), '{UPPER}', '{LOWER}'), '[^0-9a-z\x{{{{80}}}}-\x{{{{10FFFF}}}}]+'), lambda x: x <> '')"
+_THREES = "list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))"
 _DOMAINS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in DOMAINS)
 _PATTERNS = ", ".join(f"({i}, '{r.name}', '{r.pattern}')" for i, r in enumerate(PATTERNS))
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(sha1(p), {1 + i // 4 * 5}, 5))::BIGINT >> {15 - i % 4 * 5}) % 32, 1)" for i in range(32))
@@ -142,6 +145,17 @@ b AS (
 m AS (SELECT page_id, min_by(name, i) pattern FROM s JOIN r ON regexp_matches(url, r.pattern) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN m.pattern IS NULL THEN 'allow' ELSE 'block' END) verdict, CASE WHEN rule IS NULL THEN m.pattern END pattern
 FROM s LEFT JOIN b USING (page_id) LEFT JOIN m USING (page_id)
+""",
+    "op7_license_scan": f"""
+WITH t(k, license, x) AS (VALUES {_NOTICES}),
+ts AS (SELECT k, license, {_THREES} sh FROM (SELECT k, license, {_TERMS.format("x")} ws FROM t)),
+tu AS (SELECT k, license, len(list_distinct(sh)) n, ({BLOCK} * 2 ** greatest(0, ceil(log2(len(sh) / {BLOCK}.0))))::BIGINT size, unnest(list_distinct(sh)) sh FROM ts),
+ds AS (SELECT doc_id, {_THREES} sh FROM (SELECT doc_id, {_TERMS.format("text")} ws FROM documents) WHERE len(ws) >= 3),
+du AS (SELECT doc_id, unnest(sh) sh, unnest(range(0, len(sh))) i FROM ds),
+hit AS (SELECT doc_id, k, license, n, size, i, sh, unnest(CASE WHEN i >= size THEN [i // size, i // size - 1] ELSE [0] END) b FROM du JOIN tu USING (sh)),
+win AS (SELECT doc_id, k, license, b, count(DISTINCT sh) / n share, min(i) word FROM hit GROUP BY doc_id, k, license, n, b)
+SELECT doc_id, k::INTEGER AS template, license, share AS containment, word::BIGINT AS word FROM win WHERE share >= {CONTAINED}
+QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY share DESC, b) = 1
 """,
     "op4_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
