@@ -314,3 +314,36 @@ def test_written_states(spark, path, monkeypatch):
     u = Table(spark, path)
     assert read == [7] and u.version == 7 and rows(u.read(4)) == want and rows(u.read()) == rows(t.read())
     assert u.insert([(9, 9)], batch="b1") is None and u.log.at(5).files.keys() < u.log.head().files.keys()
+
+
+def test_picker():
+    from vtable.operators.compaction import pick, scores
+    from vtable.sources.log import DataFile
+
+    def f(name, level, low, high, mb=1, v=1):
+        return DataFile(f"data/{name}/x", 1, mb * 1_000_000, level, 0, low, high, v, v)
+
+    o = Options(l0_limit=2, l1_mb=10)
+    files = [f("a", 0, 1, 5), f("b", 0, 4, 9), f("c", 1, 0, 3, 9), f("d", 1, 20, 30, 9), f("e", 2, 0, 99, 50)]
+    assert scores(files, o) == {0: 1.0, 1: 1.8, 2: 0.5}
+    assert [x.folder for x in pick(files, o)[0]] == ["c", "e"] and pick(files, o)[1] == 2
+    chosen, level = pick([x for x in files if x.folder != "d"], o)
+    assert {x.folder for x in chosen} == {"a", "b", "c"} and level == 1
+    assert pick(files[2:3], o) == ([], 0) and pick([], o) == ([], 0)
+
+
+def test_two_compactions(spark, path, monkeypatch):
+    t = Table.create(spark, path, "id INT PRIMARY KEY, v INT")
+    t.insert([(1, 1)])
+    t.insert([(1, 2)])
+    save = Table._save
+
+    def slow(self, *a, **b):
+        save(self, *a, **b)
+        monkeypatch.setattr(Table, "_save", save)
+        Table(spark, path).compact(everything=True)
+
+    monkeypatch.setattr(Table, "_save", slow)
+    with pytest.raises(ConflictError):
+        t.compact(everything=True)
+    assert rows(t.read()) == [(1, 2)] and all(r.problems == 0 for r in t.check().collect())

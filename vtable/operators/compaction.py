@@ -30,6 +30,8 @@ def pick(files: Sequence[DataFile], options: Options) -> tuple[list[DataFile], i
 
     All of level 0 goes at once, since its files overlap; of a further level the file with the oldest rows goes.
     """
+    if not files:
+        return [], 0
     found = scores(files, options)
     level = max(found, key=lambda k: (found[k], -k))
     if found[level] < 1:

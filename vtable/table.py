@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators import access, resolve
-from .operators.compaction import overlapping, pick
+from .operators.compaction import MEGABYTE, overlapping, pick
 from .operators.resolve import DELETED, VERSION
 from .sources.log import Commit, CorruptTable, DataFile, Log, SlotTaken, State, Store
 from .sources.options import Options
@@ -388,9 +388,12 @@ class Table:
             self.metrics.add("conflicts")
             raise ConflictError(f"{self.schema.name}: a key was written since version {base}")
 
-    def _commit(self, op: str, schema: TableSchema | None = None, **more: Any) -> int:
+    def _commit(self, op: str, schema: TableSchema | None = None, only_if: Callable[[State], bool] | None = None, **more: Any) -> int:
         for _ in range(TRIES):
-            version = self.log.head().version + 1
+            head = self.log.head()
+            if only_if and not only_if(head):
+                raise ConflictError(f"{self.path}: someone else has done this")
+            version = head.version + 1
             try:
                 self.log.append(Commit(version, op, version - 1, schema=schema.to_json() if schema else None, **more), self.options.sync == "FULL")
                 return version
@@ -520,31 +523,28 @@ class Table:
 
         Rows go to range partitions of the key, so the new files don't overlap. Tombstones go only if no file outside holds their keys.
         """
-        head = self.log.head()
-        rows = [f for f in head.files.values() if not f.index]
-        chosen, level = (rows, max([1, *(f.level for f in rows)])) if everything else pick(rows, self.options)
-        if not chosen:
+        head, schema, limit, uid = self.log.head(), self.schema, self.threshold(), uuid.uuid4().hex
+        added, removed = [], []
+        for index in (None, *schema.indexes):
+            number = index.id if index else 0
+            files = [f for f in head.files.values() if f.index == number]
+            chosen, level = (files, max([1, *(f.level for f in files)])) if everything else pick(files, self.options)
+            if not chosen:
+                continue
+            struct = self._entry_struct(index) if index else schema.stored
+            key = struct.names if index else list(schema.key)
+            order = list(index.columns) if index else key
+            whole = not overlapping(chosen, [f for f in files if f not in chosen])
+            kept = resolve.collect_garbage(self._scan(chosen, struct, self._folders(head)), key, limit, whole)
+            where = f"idx/{number}/{uid}" if index else f"data/{uid}"
+            parts = max(1, -(-sum(f.bytes for f in chosen) // (self.options.file_mb * MEGABYTE)))
+            self._save(kept.repartitionByRange(parts, *order), where, [*order, VERSION], level)
+            single = not index and whole and limit >= max(f.high_v for f in chosen)
+            added += self._files(where, order[0], schema.struct, level=level, index=number, single=single)
+            removed += [f.path for f in chosen]
+        if not removed:
             return None
-        schema, limit, uid = self.schema, self.threshold(), uuid.uuid4().hex
-        outside = [f for f in rows if f not in chosen]
-        whole = not overlapping(chosen, outside)
-        key = list(schema.key)
-        kept = resolve.collect_garbage(self._scan(chosen, schema.stored, self._folders(head)), key, limit, whole)
-        single = whole and limit >= max(f.high_v for f in chosen)
-        where = f"data/{uid}"
-        parts = max(1, -(-sum(f.bytes for f in chosen) // (self.options.file_mb * 1_000_000)))
-        self._save(kept.repartitionByRange(parts, *key), where, [*key, VERSION], level)
-        added = self._files(where, key[0], schema.struct, level=level, single=single)
-        removed = [f.path for f in chosen]
-        for index in schema.indexes:
-            entries = [f for f in head.files.values() if f.index == index.id]
-            if len(entries) > 1:
-                entry = self._entry_struct(index)
-                left = resolve.collect_garbage(self._scan(entries, entry, self._folders(head)), entry.names, limit)
-                self._save(left.repartitionByRange(max(1, -(-sum(f.bytes for f in entries) // (self.options.file_mb * 1_000_000))), *index.columns), f"idx/{index.id}/{uid}", list(index.columns), level)
-                added += self._files(f"idx/{index.id}/{uid}", index.columns[0], schema.struct, level=level, index=index.id)
-                removed += [f.path for f in entries]
-        version = self._commit("compact", add=added, remove=removed, horizon=limit)
+        version = self._commit("compact", add=added, remove=removed, horizon=limit, only_if=lambda state: state.files.keys() >= set(removed))
         self.metrics.add("compactions")
         self.metrics.add("files_removed", len(removed))
         log.info("compacted %d files into %d at level %d", len(removed), len(added), level)
