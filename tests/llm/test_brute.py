@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from vtable.llm import common, jaccard, langid, licenses, quality, tokens, urlfilter, warc
+from vtable.llm import common, jaccard, langid, licenses, mixing, quality, tokens, urlfilter, warc
 from vtable.llm import queries as Q
 from vtable.llm.common import read
 
@@ -264,3 +264,22 @@ def test_pipeline(spark, sf_dir):
     mixed = stages["mixing"](spark, docs, sf_dir).collect()
     assert {r.doc_id for r in mixed} <= ids and Counter((r.doc_id, r.copy) for r in mixed).most_common(1)[0][1] == 1
     assert abs(len(mixed) - len(ids)) < 5 * len(ids) ** 0.5
+
+
+@pytest.mark.parametrize("rate", [0.01, 0.7, 3.0, 40.0, 900.0, 30_000.0])
+def test_poisson(rate):
+    first, steps = mixing.poisson_steps(rate)
+    p = np.diff(np.concatenate(([0.0], steps)))
+    k = first + np.arange(len(p))
+    assert abs(p.sum() - 1) < 1e-9 and abs((p * k).sum() - rate) < 1e-6 * max(1, rate) and abs((p * (k - rate) ** 2).sum() - rate) < 1e-4 * max(1, rate)
+    assert len(steps) < 60 * rate**0.5 + 130
+
+
+def test_mixing_is_the_same_in_any_partitioning(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "ab"[i % 2]) for i in range(3000)], "doc_id long, text string, source string")
+    a, b = (mixing.mix_sources(d, {"a": 3.0, "b": 1.0}, seed=3).select("doc_id", "copy", "shuffle_key") for d in (docs, docs.repartition(7)))
+    assert sorted(a.collect()) == sorted(b.collect())
+    many = mixing.mix_sources(docs.limit(3), {"a": 1.0, "b": 1.0}, total=30_000).groupBy("source").count().collect()
+    assert all(abs(r[1] - 15_000) < 800 for r in many)
+    keys = [r.shuffle_key for r in mixing.mix_sources(docs, {"a": 1.0, "b": 1.0}, partitions=1).collect()]
+    assert keys == sorted(keys) and abs(np.mean(keys) - 0.5) < 0.03

@@ -19,14 +19,15 @@ def uniform(*parts) -> F.Column:
     return F.conv(F.substring(F.md5(joined), 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
-def poisson_steps(rate: float) -> list[float]:
-    """P(count <= k) for k = 0, 1, ... until it is 1 as nearly as 52 bits tell."""
-    steps, total, k = [], 0.0, 0
+def poisson_steps(rate: float) -> tuple[int, list[float]]:
+    """first, and P(count <= k) for k = first, first + 1, ... until it is 1 as nearly as 52 bits tell; below first it is 0 as nearly."""
+    first = max(0, math.floor(rate - 12 * math.sqrt(rate) - 60))
+    steps, total, k = [], 0.0, first
     while rate > 0 and (k < rate or total < 1 - 2.0**-53) and k < rate + 40 * math.sqrt(rate) + 60:
         total += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
         steps.append(total)
         k += 1
-    return steps
+    return first, steps
 
 
 def rates(docs: DataFrame, weights: dict[str, float], total: int | None, source: str) -> dict[str, float]:
@@ -58,8 +59,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], total: int | None =
     u = uniform(F.lit(seed), F.col(doc_id))
     if found:
         mean = F.coalesce(F.create_map(*[x for s, r in found.items() for x in (F.lit(s), F.lit(r))])[own], F.lit(0.0))
-        cuts = F.create_map(*[x for s, r in found.items() for x in (F.lit(s), F.array(*map(F.lit, poisson_steps(r))))])[own]
-        count = F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col("__u"))), F.lit(0))
+        steps = {s: poisson_steps(r) for s, r in found.items()}
+        first = F.create_map(*[x for s, (k, _) in steps.items() for x in (F.lit(s), F.lit(k))])[own]
+        cuts = F.create_map(*[x for s, (_, c) in steps.items() for x in (F.lit(s), F.array(*map(F.lit, c)))])[own]
+        count = F.coalesce(first + F.size(F.filter(cuts, lambda c: c <= F.col("__u"))), F.lit(0))
     else:
         mean, count = F.lit(0.0), F.lit(0)
     rows = docs.withColumn("__u", u).withColumn("__n", count).where("__n > 0").withColumn(rate, mean)
