@@ -28,12 +28,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; where unset, a local one is set."""
+    """The folder that driver and executors share, from spark.checkpoint.dir, with its scheme; where unset, a local one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="vtable-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/")
 
 
 def bounded_batches(spark: SparkSession) -> None:
