@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only if it has been counted and holds at most so many rows of a few machine words.
 BROADCAST_ROWS = 1_000_000
 #: Text bytes that one step of the numpy code works on; a longer single text is still taken whole.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 #: Rows and bytes of an Arrow batch at most, so that an executor's Python workers hold little of long texts at a time.
-BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 300, 2 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

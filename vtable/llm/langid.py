@@ -77,7 +77,7 @@ class Model:
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    for lo, texts in text_slices(column, 300_000):
+    for lo, texts in text_slices(column, 120_000):
         yield lo, [None if t is None else t.decode() for t in texts]
 
 

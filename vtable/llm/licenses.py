@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,7 @@ class Templates:
     def salt(self, band: int) -> np.uint64:
         return mix(np.array([band + 1], np.uint64))[0]
 
+    @cached_property
     def keys(self) -> list[dict[tuple[int, int], list[int]]]:
         """For each class of block lengths: (band, least hash) to templates."""
         found: list[dict] = []
@@ -103,7 +105,7 @@ class Templates:
         owner = np.repeat(np.arange(len(counts)), blocks)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         base = (ends - counts)[owner] + nth * BLOCK
-        keys, candidates = self.keys(), set()
+        keys, candidates = self.keys, set()
         for band in range(self.bands):
             low = np.minimum.reduceat(mix(flat ^ self.salt(band)), base)
             o, at = owner, nth
