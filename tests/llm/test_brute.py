@@ -75,6 +75,23 @@ def test_jaccard(spark, monkeypatch, seed, k, num, small):
         assert 100 * len(a & b) >= num * len(a | b)
 
 
+@pytest.mark.parametrize(("seed", "k", "num", "small"), [(4, 2, 60, False), (5, 2, 60, True)])
+def test_jaccard_links(spark, monkeypatch, seed, k, num, small):
+    """Every pair of similar different texts is a link, once, also in groups of many blocks."""
+    if small:
+        monkeypatch.setattr(jaccard, "BLOCK", 4)
+        monkeypatch.setattr(jaccard, "GROUP", 2)
+        monkeypatch.setattr(jaccard, "OFTEN", 3)
+    docs = list(enumerate(variants(random.Random(seed), 120)))
+    _, links = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), k, num, 100)
+    sets = {}
+    for d, x in docs:
+        sets.setdefault(shingles(x, k), d)
+    pairs = [(a, b) for a in sets for b in sets if sets[a] < sets[b] and 100 * len(a & b) >= num * len(a | b)]
+    assert len(pairs) > len(sets)
+    assert sorted((r.a, r.b) for r in links.collect()) == sorted((sets[a], sets[b]) for a, b in pairs)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 80), st.sampled_from([(85, 100), (80, 100), (1, 2), (9, 10)]))
 def test_similar_sets_share_a_signature(seed, n, ratio):

@@ -131,15 +131,16 @@ def set_rows(words: int, num: int, den: int):
     return rows
 
 
-def link_block(sets: list[np.ndarray], query: np.ndarray, t: Threshold) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links among the sets of a block, and the component of each; both by position. Queries are not compared with each other.
+def link_block(sets: list[np.ndarray], query: np.ndarray, cross: bool, elsewhere: list[list[int]], t: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Every link among the sets of a block, by position: its two ends, and whether it joins two components of those before it.
+
+    With cross only queries and others are compared with each other. Sets that have a number of elsewhere in common are not compared.
 
     A token-group matrix: sets in the order of their least tokens, which similar sets mostly share, are cut into groups of GROUP; for each
     token the matrix has the groups whose union holds it. A set similar to a query holds t.least(n) of its n tokens, and so does its group:
-    the query's overlap with every group is read off the matrix, and only groups with enough are opened and compared set by set. Of the links
-    to one component the first is given.
+    the query's overlap with every group is read off the matrix, and only groups with enough are opened and compared set by set.
     """
-    order = sorted(range(len(sets)), key=lambda i: sets[i][:2].tolist())
+    order = np.array(sorted(range(len(sets)), key=lambda i: sets[i][:2].tolist()), np.int64)
     sizes = np.array([len(sets[i]) for i in order], np.int64)
     ends = np.cumsum(sizes)
     tokens, cols = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
@@ -149,9 +150,9 @@ def link_block(sets: list[np.ndarray], query: np.ndarray, t: Threshold) -> tuple
     held = cells % n_groups
     ptr = np.searchsorted(cells, np.arange(len(tokens) + 1) * n_groups)
     asks = query[order]
+    met = shared_bits([elsewhere[i] for i in order])
     comp = np.arange(len(order))
     inside = np.zeros(len(tokens), bool)
-    links = []
     for i in range(len(order)):
         own = cols[ends[i] - sizes[i] : ends[i]]
         lo, n = ptr[own], ptr[own + 1] - ptr[own]
@@ -164,44 +165,79 @@ def link_block(sets: list[np.ndarray], query: np.ndarray, t: Threshold) -> tuple
                 continue
             from_ = ends[first] - sizes[first]
             both = np.add.reduceat(inside[cols[from_ : ends[last - 1]]].astype(np.int64), ends[first:last] - sizes[first:last] - from_)
-            similar = (t.den * both >= t.num * (sizes[first:last] + sizes[i] - both)) & ~(asks[first:last] & asks[i])
-            for j in (np.flatnonzero(similar) + first).tolist():
-                if comp[j] != comp[i]:
-                    links.append((order[i], order[j]))
-                    comp[comp == comp[i]] = comp[j]
+            similar = t.den * both >= t.num * (sizes[first:last] + sizes[i] - both)
+            if cross:
+                similar &= asks[first:last] != asks[i]
+            if met.shape[1]:
+                similar &= ~(met[first:last] & met[i]).any(axis=1)
+            js = np.flatnonzero(similar) + first
+            if len(js):
+                joins = np.zeros(len(js), bool)
+                for k in np.flatnonzero(comp[js] != comp[i]).tolist():
+                    if comp[js[k]] != comp[i]:
+                        joins[k] = True
+                        comp[comp == comp[i]] = comp[js[k]]
+                yield np.full(len(js), order[i]), order[js], joins
         inside[own] = False
-    out = np.empty(len(order), np.int64)
-    out[order] = comp
-    return links, out
 
 
-LINKS = "a long, b long, pivot long, lost long"
+def shared_bits(lists: list[list[int]]) -> np.ndarray:
+    """A row of bytes for each list, a bit for each number that several lists have."""
+    flat = np.array([x for own in lists for x in own], np.int64)
+    owner = np.repeat(np.arange(len(lists)), [len(own) for own in lists])
+    _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    out = np.zeros((len(lists), -(-int((n > 1).sum()) // 8)), np.uint8)
+    many = n[at] > 1
+    np.bitwise_or.at(out, (owner[many], place[at[many]] // 8), (1 << (place[at[many]] % 8)).astype(np.uint8))
+    return out
+
+
+#: Links in a batch that link_rows gives.
+LINK_ROWS = 100_000
+LINKS = "a long, b long, joins boolean"
 
 
 def link_rows(words: int, num: int, den: int):
-    """For mapInArrow over rows sorted by group: pivot, block, part, query, head, doc_id, text.
+    """For mapInArrow over rows sorted by group: pivot, block, part, query, earlier, doc_id, text. Gives the links of each group.
 
-    Gives links (a, b); lost has the members of a block that its links don't connect with the group's head, if the group has more blocks.
+    Where block and part differ, sets of the one are compared with those of the other.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Threshold(num, den)
         for table in runs(batches, ["pivot", "block", "part"]):
-            ids, query, head = (table.column(c).to_pylist() for c in ("doc_id", "query", "head"))
-            blocks = table.column("blocks")[0].as_py()
+            ids, query, earlier = (table.column(c).to_pylist() for c in ("doc_id", "query", "earlier"))
             texts = [x for c in table.column("text").chunks for x in binary_list(c)]
             flat, sizes = shingle_sets(texts, words)
             ends = np.cumsum(sizes)
-            found, comp = link_block([flat[e - n : e] for e, n in zip(ends, sizes, strict=True)], np.array(query), t)
-            links = [(ids[i], ids[j]) for i, j in found]
-            heads = {comp[i] for i, h in enumerate(head) if h}
-            lost = [x for x, c in zip(ids, comp, strict=True) if c not in heads] if blocks > 1 and not any(query) else []
-            a, b = [x for x, _ in links] + [None] * len(lost), [y for _, y in links] + [None] * len(lost)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([table.column("pivot")[0].as_py()] * len(a), pa.int64()), pa.array([None] * len(links) + lost, pa.int64())], names=["a", "b", "pivot", "lost"])
+            sets = [flat[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+            # rows that repeat a doc_id and its set count once
+            once = list({(d, x.tobytes()): k for k, (d, x) in enumerate(zip(ids, sets, strict=True)) if len(x)}.values())
+            ids = np.array([ids[k] for k in once], np.int64)
+            cross = table.column("block")[0].as_py() != table.column("part")[0].as_py()
+            asks = np.array([query[k] for k in once], bool)
+            if len(once) < 2 or (cross and (asks.all() or not asks.any())):
+                continue
+            held, n = [], 0
+            for link in link_block([sets[k] for k in once], asks, cross, [earlier[k] for k in once], t):
+                held.append(link)
+                n += len(link[0])
+                if n >= LINK_ROWS:
+                    yield link_batch(ids, held)
+                    held, n = [], 0
+            if held:
+                yield link_batch(ids, held)
 
     return rows
 
 
+def link_batch(ids: np.ndarray, links: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    i, j, joins = (np.concatenate(x) for x in zip(*links, strict=True))
+    a, b = ids[i], ids[j]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(joins)], names=["a", "b", "joins"])
+
+
 def head_rows(signature: np.ndarray, pivot: np.ndarray):
     """For mapInArrow: k1 and sigs to k1 and the pivots of those of its signatures that are in signature (sorted), each once a batch."""
 
@@ -243,7 +279,9 @@ def shared_signatures(scratch: Scratch, sets: DataFrame, rows: int) -> DataFrame
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(result, links): doc_id, n_shingles, component_id of each row of docs, and the links (a, b) found between different texts.
+    """(result, links): doc_id, n_shingles, component_id of each row of docs, and every link (a, b), a <= b, between different texts, once.
+
+    A text's links are those of the smallest doc_id that has it; n similar texts have n (n - 1) / 2 links.
 
     Two documents are linked when the Jaccard similarity of their sets of distinct word shingles is num / den or more; component_id is the
     smallest doc_id that links lead to. Tokens are 64-bit hashes of shingles.
@@ -251,7 +289,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     Token-group matrix: equal sets count once. Sets that share a signature (see Threshold) meet around one of them, so any two similar
     sets meet. Those that meet are partitioned into groups of similar sets with a token union each; a query opens only the groups whose
     union holds enough of its tokens (see link_block). Where over BLOCK sets, or BLOCK_TOKENS tokens, meet, they are dealt out in
-    blocks, each with the set that they meet around; what is not linked with that in its block is a query to the other blocks.
+    blocks, and each block's sets are queries to the later blocks. Two sets that meet around several sets are compared at the least of them.
+    Components need only the links that join two components of a block; those are told apart where they are found.
 
     Nulls, empty texts and texts of white space have an empty set: n_shingles 0, linked with nothing, component_id their own doc_id. Rows with
     the same doc_id and rows without one are each returned; a null doc_id joins no component. Other columns are not read. An empty table gives
@@ -266,30 +305,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     kinds = scratch.write(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "kinds")
     near = scratch.write(shared_signatures(scratch, sets.where("doc_id is not null"), total), "near")
     # two different sets may have the same k1: each has its own row here
-    members = scratch.write(near.join(kinds, "k1").selectExpr("pivot", "rep", "n", "k1 = pivot head"), "members")
+    members = scratch.write(near.join(kinds, "k1").select("pivot", "rep", "n"), "members")
     sizes = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "pivot").withColumn("block", F.explode(F.when(F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))))
-    placed = scratch.write(placed.selectExpr("pivot", "block", "blocks", "0 part", "rep", "n", "head", "false query"), "placed")
-
-    def linked(rows: DataFrame) -> DataFrame:
-        texts = docs.join(checked(rows, rows.count()), docs.doc_id == rows.rep).drop("rep")
-        keys = ["pivot", "block", "part"]
-        return texts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link_rows(words, num, den), LINKS)
-
-    first = scratch.write(linked(placed), "links")
-    edges, lost = first.where("a is not null").select("a", "b"), first.where("lost is not null").selectExpr("pivot", "lost rep")
-    if not lost.isEmpty():
-        lost = lost.join(placed.where("not head").select("pivot", "rep", "n", "block", "blocks"), ["pivot", "rep"])
-        number = lost.join(lost.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("parts")), "pivot")
-        number = number.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int"))
-        asks = number.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block").selectExpr("pivot", "to block", "blocks", "part", "rep", "false head", "true query")
-        bases = placed.join(asks.select("pivot", "block", F.col("part").alias("p")).distinct(), ["pivot", "block"]).selectExpr("pivot", "block", "blocks", "p part", "rep", "head", "query")
-        second = scratch.write(linked(scratch.write(bases.unionByName(asks), "asked")), "links2")
-        edges = edges.unionByName(second.where("a is not null").select("a", "b"))
-    labels = components(scratch, edges)
+    pivots = members.groupBy("rep").agg(F.collect_set("pivot").alias("pivots"))
+    placed = members.join(sizes, "pivot").join(pivots, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = scratch.write(placed.selectExpr("pivot", "greatest(own, other) block", "least(own, other) part", "rep", "own < other query", "filter(pivots, p -> p < pivot) earlier"), "placed")
+    keys = ["pivot", "block", "part"]
+    texts = docs.join(checked(placed, placed.count()), docs.doc_id == placed.rep).drop("rep")
+    links = scratch.write(texts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link_rows(words, num, den), LINKS), "links")
+    edges = links.select("a", "b")
+    labels = components(scratch, links.where("joins").select("a", "b"))
     named = kinds.join(labels, kinds.rep == labels.node, "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"), "copies", "comp").toDF("k1", "k2", "comp", "copies", "linked").where("copies > 1 or linked is not null").drop("copies", "linked")
     slim = sets.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
     out = slim.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.expr("case when doc_id is not null then coalesce(comp, doc_id) end").alias("component_id"))
-    out, edges = scratch.write(out, "out"), scratch.write(edges.distinct(), "edges")
-    scratch.drop("sets", "kinds", "near", "heads", "members", "placed", "links", "links2", "asked", "labels")
+    out = scratch.write(out, "out")
+    scratch.drop("sets", "kinds", "near", "heads", "members", "placed", "labels")
     return out, edges
