@@ -2,7 +2,7 @@
 
 import pytest
 
-from vtable.cli import KvShell, SqlShell, statements
+from vtable.cli import KvShell, SqlShell, main, statements
 from vtable.kv import KV
 from vtable.plans.sql import Session, SqlError
 from vtable.table import UniqueViolation
@@ -80,3 +80,10 @@ def test_shells(spark, tmp_path):
     assert q.run("INSERT INTO data VALUES (X'61', X'62');") == ["OK"]
     assert q.run("SELECT hex(key) k FROM data;") == ["k", "61"] and "commits=1" in q.run(".stats") and q.run(".quit") is None
     assert list(statements(["SELECT 1,\n", "2;\n", ".stats\n", "x"])) == ["SELECT 1,\n2;\n", ".stats", "x\n"]
+
+
+def test_sql_shell_prints_every_row(spark, tmp_path, capsys):
+    q = SqlShell(spark, f"{tmp_path}/s")
+    assert q.run("SELECT id FROM range(2500) ORDER BY id;") == ["id", *map(str, range(2500))]
+    main(["sql", f"{tmp_path}/t", "--sql", "SELECT id FROM range(1200) ORDER BY id"])
+    assert capsys.readouterr().out.split() == ["id", *map(str, range(1200))]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 
@@ -15,15 +15,20 @@ from .sources.options import Options, parse_file
 KV_HELP = "open PATH, close, put KEY VALUE, get KEY, del KEY, scan PREFIX [LIMIT], count, stats, help, exit"
 
 
-def _table(df) -> list[str]:
-    rows = df.limit(1000).collect()
-    return ["|".join(df.columns), *("|".join("" if v is None else str(v) for v in r) for r in rows)]
+def _table(df) -> Iterator[str]:
+    """The names of the columns, then every row; the driver holds a partition at a time."""
+    yield "|".join(df.columns)
+    for r in df.toLocalIterator():
+        yield "|".join("" if v is None else str(v) for v in r)
 
 
 class KvShell:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.kv = spark, KV(spark, path) if path else None
 
+    def lines(self, line: str) -> list[str] | None:
+        return self.run(line)
+
     def run(self, line: str) -> list[str] | None:
         """Lines to print; None ends the shell."""
         word, *rest = line.split(maxsplit=2) or [""]
@@ -58,7 +63,7 @@ class KvShell:
             case "count", []:
                 return [str(self.kv.count())]
             case "stats", []:
-                return _table(self.kv.table.stats())
+                return list(_table(self.kv.table.stats()))
         return [f"can't read {line!r}; {KV_HELP}"]
 
 
@@ -70,6 +75,11 @@ class SqlShell:
         self.session.mount("data", path, options=";".join(f"{k}={v}" for k, v in (options or {}).items()))
 
     def run(self, statement: str) -> list[str] | None:
+        out = self.lines(statement)
+        return None if out is None else list(out)
+
+    def lines(self, statement: str) -> Iterable[str] | None:
+        """What run gives, a result's rows as they come."""
         text = statement.strip().rstrip(";")
         if text in (".exit", ".quit"):
             return None
@@ -113,12 +123,16 @@ def main(args: list[str] | None = None) -> int:
         shell, lines = SqlShell(spark, given.path or "data", options), statements([given.sql] if given.sql else sys.stdin)
     for line in lines:
         try:
-            out = shell.run(line)
+            out = shell.lines(line)
+            if out is None:
+                break
+            if isinstance(out, list):
+                out = ["\n".join(out)]
+            for x in out:
+                print(x)
         except Exception as e:
-            out = [f"error: {e}"]
-        if out is None:
-            break
-        print("\n".join(out), flush=True)
+            print(f"error: {e}")
+        sys.stdout.flush()
     return 0
 
 
