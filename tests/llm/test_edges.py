@@ -45,6 +45,15 @@ def test_jaccard(docs, none):
     assert jaccard.jaccard_components(none)[0].count() == 0
 
 
+def test_jaccard_copy_without_id_first(spark):
+    """A row without doc_id takes no signatures from its copy, whose near copy is in another task."""
+    rows = [(None, PROSE), (2, PROSE), (1, PROSE + " indeed")]
+    parts = spark.createDataFrame(rows[:2], "doc_id long, text string").coalesce(1).union(spark.createDataFrame(rows[2:], "doc_id long, text string").coalesce(1))
+    out, links = jaccard.jaccard_components(parts)
+    assert {r.doc_id: r.component_id for r in out.collect()} == {None: None, 1: 1, 2: 1}
+    assert [tuple(r) for r in links.collect()] == [(1, 2)]
+
+
 def test_exact(docs, none):
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(docs).collect()}
     assert got[1] == (2, 3, False) and got[2] == (2, 3, True) and got[None][2] is False

@@ -105,7 +105,7 @@ SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()),
 def set_rows(words: int, num: int, den: int):
     """For mapInArrow: doc_id and text to the set's size, its two hashes and its signatures.
 
-    Of equal sets that are near each other only the first has signatures; they would be the same.
+    Of equal sets that are near each other only the first that has a doc_id has signatures; they would be the same.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +118,10 @@ def set_rows(words: int, num: int, den: int):
                 for salt in (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)):
                     total = np.concatenate(([np.uint64(0)], np.cumsum(mix(flat ^ salt), dtype=np.uint64)))
                     keys.append(mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64)).view(np.int64))
-                _, first = np.unique(np.stack(keys, 1), axis=0, return_index=True)
+                named = np.flatnonzero(b.column(0).slice(lo, len(texts)).is_valid().to_numpy(zero_copy_only=False))
+                _, first = np.unique(np.stack(keys, 1)[named], axis=0, return_index=True)
                 twin = np.ones(len(sizes), bool)
-                twin[first] = False
+                twin[named[first]] = False
                 kept = np.where(twin, 0, sizes)
                 sums, sets = signatures(flat[np.repeat(~twin, sizes)], kept, t)
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(sets, minlength=len(sizes))))).astype(np.int32)
