@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from vtable.llm import decontaminate, exact, jaccard, langid, licenses, mixing, quality, tokens, urlfilter, warc
-from vtable.llm.queries import DOMAINS, PATTERNS
+from vtable.llm.queries import DOMAINS, PATTERNS, QUERIES
 
 LONG = " ".join(f"word{i % 5000} goes on" for i in range(60_000))
 PROSE = "the quick brown fox jumps over the lazy dog and then it runs away from the farm to the river bank at noon"
@@ -61,6 +61,15 @@ def test_exact(docs, none):
     assert exact.exact_dedup(none).count() == 0
 
 
+def test_exact_query_keeps_every_row(spark, tmp_path):
+    """Rows without a doc_id stay, and a doc_id of two texts has each text's own hash."""
+    rows = [(None, "a"), (1, "a"), (2, "b"), (2, "c"), (3, "b"), (4, "d"), (4, "d"), (None, "e"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.text_sha256, r.group_size) for r in QUERIES["op4_exact_dedup"](spark, str(tmp_path)).collect()]
+    size = {"a": 2, "b": 2, "d": 2}
+    assert sorted(got, key=str) == sorted(((d, hashlib.sha256((t or "").encode()).hexdigest(), size.get(t, 1)) for d, t in rows), key=str)
+
+
 def test_leaks(docs, none, items):
     assert [(r.doc_id, r.item_id, r.words) for r in decontaminate.leaks(docs, items).collect()] == [(10, 1, len(ITEM.split()))]
     kept = decontaminate.decontaminate(docs, items)

@@ -11,7 +11,7 @@ from .common import Scratch, checked
 PREFIX = 256
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix: int = PREFIX) -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix: int = PREFIX, digest: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept: for each distinct doc_id the row that stays of those with the same text, the largest doc_id.
 
     Texts are equal when they are identical; null counts as empty. Three steps, each over what the one before couldn't tell apart: rows with the
@@ -21,6 +21,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pre
 
     Rows with the same doc_id are one document if their texts are equal too; if not, each text has its row. A null doc_id is a document of
     its own kind: it stays only if its text has no other doc_id. Other columns are not read. An empty table gives an empty result.
+
+    With digest each row of docs has its row, with the SHA-256 of its own text in a column of that name; then all texts are hashed in full.
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -33,8 +35,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pre
     full = docs.join(checked(left, left.count()), docs.doc_id.eqNullSafe(left.doc_id), "left_semi").select("doc_id", F.octet_length("text").alias("len"), F.sha2("text", 256).alias("sha"))
     full = scratch.write(full, "full")
     groups = full.groupBy("len", "sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    found = full.distinct().join(groups, ["len", "sha"]).select("doc_id", "keep_id", "group_size")
-    alone = rows.join(left.withColumn("seen", F.lit(True)), rows.doc_id.eqNullSafe(left.doc_id), "left").where("seen is null").select(rows.doc_id, rows.doc_id.alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    sha = [F.col("sha").alias(digest)] if digest else []
+    found = (full if digest else full.distinct()).join(groups, ["len", "sha"]).select("doc_id", "keep_id", "group_size", *sha)
+    if digest:
+        rows = docs.select("doc_id", F.sha2("text", 256).alias("sha"))
+    alone = rows.join(left.withColumn("seen", F.lit(True)), rows.doc_id.eqNullSafe(left.doc_id), "left").where("seen is null").select(rows.doc_id, rows.doc_id.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), *sha)
     out = scratch.write(alone.unionByName(found).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))), "out")
     scratch.drop("rows", "lengths", "starts", "left", "full")
     return out

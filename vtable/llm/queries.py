@@ -37,9 +37,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    shas = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    return exact_dedup(docs).join(shas, "doc_id")
+    return exact_dedup(read(spark, sf_dir, "documents"), digest="text_sha256")
 
 
 DOMAINS = [DomainRule("net", "/", "block"), DomainRule("example.net", "/en/", "allow"), DomainRule("example.com", "/de/", "block"), DomainRule("org", "/fr/", "allow")]
