@@ -1,6 +1,7 @@
 """Nulls in any column, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for every operator and stage."""
 
 import hashlib
+import itertools
 
 import pytest
 
@@ -77,6 +78,24 @@ def test_leaks(docs, none, items):
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items(spark):
+    """Items of 1 to 11 words with as many words changed as a leak may have, in any place, and with one too many."""
+    docs, items, want = [], [], set()
+    for n in range(1, 12):
+        item = [f"i{n}w{j}" for j in range(n)]
+        items.append((n, " ".join(item)))
+        may = n - -(-n * decontaminate.PERCENT // 100)
+        for k in range(may + 2):
+            for gone in itertools.combinations(range(n), k):
+                docs.append((len(docs), " ".join(["before", *("other" if j in gone else w for j, w in enumerate(item)), "after"])))
+                if k <= may:
+                    want.add((len(docs) - 1, n, n - k))
+    docs.append((len(docs), "i8w1 i8w2 i8w3 i8w4 i8w5 i8w6 i8w7"))
+    want.add((len(docs) - 1, 8, 7))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_mixing(docs, none):
     out = mixing.mix_sources(docs, {"a": 0.5, "b": 0.4, "": 0.1, "absent": 1.0}, total=2000)
     assert {"rate_", "copy_", "shuffle_key"} <= set(out.columns) and set(docs.columns) <= set(out.columns)

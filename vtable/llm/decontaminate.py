@@ -35,7 +35,8 @@ def leaks(docs: DataFrame, tests: DataFrame, text: str = "text", doc_id: str = "
     Seeds: at each word position of documents and items, the words that a mask leaves are hashed, so that a substituted word under a 0
     does no harm. Documents' and items' hashes are joined; a common hash gives an alignment (document, item, distance). It is verified
     word by word: a leak has a stretch of window words, or the whole item if that is shorter, of which percent in a hundred or more are
-    equal. Items shorter than the shortest mask give no seeds and so never match.
+    equal. Items shorter than window are cut into one part more than the words in which they may differ, so that a whole part is equal:
+    those parts are their seeds, and each alignment is found.
 
     Hits of a document on the same alignment are combined before any shuffle, so a passage in very many documents costs one row for each.
     The items' hashes, and the hits, are broadcast only after being counted; beyond the limit the joins shuffle.
@@ -47,8 +48,17 @@ def leaks(docs: DataFrame, tests: DataFrame, text: str = "text", doc_id: str = "
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     tests = tests.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("item")).where("item_id is not null")
     tests = scratch.write(tests, "items")
+    size = F.size("item")
+    long = tests.where(size >= window).select("item_id", F.posexplode(seeds(F.col("item"), masks)).alias("p", "h")).selectExpr("item_id", f"cast(p div {len(masks)} as int) q", "h").where("h is not null")
+    short = tests.where((size > 0) & (size < window)).withColumn("n", size).withColumn("parts", F.least("n", F.expr(f"cast(n - ceil(n * {percent} / 100) + 1 as int)")))
+    short = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).selectExpr("item_id", "item", "cast(part * n div parts as int) q", "cast((part + 1) * n div parts - part * n div parts as int) len")
+    lengths = sorted(r[0] for r in short.select("len").distinct().collect())
+    own_hash = [F.when(F.col("len") == m, F.xxhash64(F.lit(len(masks) + i), *[F.get("item", F.col("q") + j) for j in range(m)])) for i, m in enumerate(lengths)]
+    if lengths:
+        long = long.unionByName(short.select("item_id", "q", F.coalesce(*own_hash).alias("h")))
+    test_seeds = scratch.write(long, "seeds")
+    masks = (*masks, *("1" * m for m in lengths))
     k = len(masks)
-    test_seeds = scratch.write(tests.select("item_id", F.posexplode(seeds(F.col("item"), masks)).alias("p", "h")).selectExpr("item_id", f"p div {k} q", "h").where("h is not null"), "seeds")
     ws = docs.select("doc_id", words(F.col("text")).alias("ws"))
     own = ws.select("doc_id", F.posexplode(seeds(F.col("ws"), masks)).alias("p", "h"))
     hits = own.join(checked(test_seeds, test_seeds.count()), "h").selectExpr("doc_id", "item_id", f"cast(p div {k} - q as int) off").distinct()
