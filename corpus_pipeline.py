@@ -11,7 +11,7 @@ from vtable.llm.exact import exact_dedup
 from vtable.llm.jaccard import jaccard_components
 from vtable.llm.langid import UNKNOWN, identify, learn
 from vtable.llm.mixing import mix_sources
-from vtable.llm.queries import WEIGHTS
+from vtable.llm.queries import OTHERS, WEIGHTS
 
 #: Documents whose likeliest language has less than this posterior probability are rejected.
 LEAST_SCORE = 0.5
@@ -48,8 +48,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the sources' target weights, shuffled."""
-    return mix_sources(docs, WEIGHTS, seed=1)
+    """Documents repeated to the sources' target weights, shuffled; those of sources without a weight at the rate OTHERS."""
+    return mix_sources(docs, WEIGHTS, seed=1, default=OTHERS)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_jaccard", near), ("decontamination", benchmark), ("mixing", mixture)]

@@ -106,6 +106,15 @@ def test_mixing(docs, none):
     assert mixing.mix_sources(none, {"a": 1.0}).count() == 0 and mixing.mix_sources(docs, {}).count() == 0
 
 
+def test_mixing_of_sources_without_a_weight(spark, tmp_path):
+    rows = [(i, "t", ("src0", "other", None)[i % 3]) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op1_mixing"](spark, str(tmp_path)).collect()
+    staged = dict(corpus_pipeline.STAGES)["mixing"](spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), str(tmp_path)).collect()
+    for out in (got, staged):
+        assert all(abs(sum(r.source == s for r in out) - 1000) < 150 and {r.rate for r in out if r.source == s} == {1.0} for s in ("src0", "other", None))
+
+
 def test_language(docs, none):
     got = {(r.doc_id, r.held_out): (r.lang_pred, r.score) for r in langid.language_id(docs).collect()}
     preds = {d: p for (d, _), p in got.items()}

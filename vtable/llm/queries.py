@@ -19,12 +19,14 @@ from .warc import archive
 
 
 #: Target weights of the sources: the hot one is cut down, one is raised, the others share the rest evenly.
+#: Documents of any other source, or of none, keep their share: their rate is OTHERS.
 WEIGHTS = {"src0": 0.1, "src1": 0.18} | {f"src{i}": 0.04 for i in range(2, 20)}
+OTHERS = 1.0
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return mix_sources(docs, WEIGHTS, seed=7).withColumn("rate", F.round("rate", 9))
+    return mix_sources(docs, WEIGHTS, seed=7, default=OTHERS).withColumn("rate", F.round("rate", 9))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
