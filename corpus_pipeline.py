@@ -15,6 +15,8 @@ from vtable.llm.queries import OTHERS, WEIGHTS
 
 #: Documents whose likeliest language has less than this posterior probability are rejected.
 LEAST_SCORE = 0.5
+#: So are those less like the texts of that language than halfway between them and n-grams at random.
+LEAST_FIT = 0.5
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -28,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learn(docs)
     scratch = Scratch(spark)
     found = scratch.write(identify(docs, model), "language")
-    return _without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)))
+    return _without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE) | (F.col("fit") < LEAST_FIT)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

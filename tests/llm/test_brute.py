@@ -231,6 +231,22 @@ def test_language_scores():
     assert np.array_equal(bucket, np.concatenate([b for b, _, _ in one])) and counts.tolist() == [int(c[0]) for _, c, _ in one]
 
 
+def test_pipeline_rejects_languages_without_a_label(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    foreign = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "xkcd qwrt zxcv bnmp lkjh gfds trwq plmk njbh vgcf xdrz wsqp mnbv zxqw rtpl kjhg fdsq wrtp lkjm nbvc",
+    ]
+    english = "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood."
+    new = spark.createDataFrame([(-1 - i, t) for i, t in enumerate([english, *foreign])], "doc_id long, text string")
+    out = dict(corpus_pipeline.STAGES)["language_id"](spark, docs.unionByName(new, allowMissingColumns=True), sf_dir)
+    assert [r.doc_id for r in out.where("doc_id < 0").collect()] == [-1]
+    assert out.where("doc_id >= 0").count() >= 0.99 * docs.count()
+
+
 def test_label_model():
     r = np.random.default_rng(0)
     good = r.random(20_000) < 0.85

@@ -56,13 +56,17 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in alphabetical order, log P(bucket | language) by language and bucket, log P(language)."""
+    """Languages in alphabetical order, log P(bucket | language) by language and bucket, log P(language), and the mean log P of an n-gram of a
+    language's own texts that is left out of its counts."""
 
     langs: list[str]
     table: np.ndarray
     prior: np.ndarray
+    usual: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The likeliest language, its posterior probability, and its fit: 1 where the text's n-grams are as likely as those of the language's
+        own texts, 0 where they are no likelier than any bucket drawn at random, in between by the mean of the logarithms."""
         bucket, counts, n_letters = grams(texts)
         some = counts > 0
         starts = (np.cumsum(counts) - counts)[some]
@@ -73,7 +77,10 @@ class Model:
         best = logs.argmax(1)
         score = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
         ok = n_letters > 0
-        return [self.langs[b] if x else UNKNOWN for b, x in zip(best.tolist(), ok.tolist(), strict=True)], np.where(ok, score, 0.0)
+        chance = -BITS * np.log(2)
+        mean = (logs[np.arange(len(texts)), best] - self.prior[best]) / np.maximum(counts, 1)
+        fit = (mean - chance) / np.maximum(self.usual[best] - chance, 1e-9)
+        return [self.langs[b] if x else UNKNOWN for b, x in zip(best.tolist(), ok.tolist(), strict=True)], np.where(ok, score, 0.0), np.where(ok, fit, 0.0)
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -107,20 +114,23 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     drawn = labelled.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1_000_003)) < share * 1_000_003)
     sums = drawn.select("lang", "text").mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(sums["lang"].unique())
-    table, docs = np.full((len(langs), 2**BITS), SMOOTH), np.ones(len(langs))
+    table, docs, usual = np.full((len(langs), 2**BITS), SMOOTH), np.ones(len(langs)), np.zeros(len(langs))
     for k, name in enumerate(langs):
         own = sums[sums["lang"] == name]
         grams_ = own[own["bucket"] >= 0]
         table[k, grams_["bucket"].to_numpy()] += grams_["n"].to_numpy()
         docs[k] = own.loc[own["bucket"] < 0, "n"].sum()
+        n = grams_["n"].to_numpy()
+        usual[k] = (n * (np.log(n - 1 + SMOOTH) - np.log(max(1, n.sum() - 1 + SMOOTH * 2**BITS)))).sum() / max(1, n.sum())
     table = np.log(table) - np.log(table.sum(1, keepdims=True)) if langs else table
-    return Model(langs, table, np.log(docs / docs.sum()) if langs else docs)
+    return Model(langs, table, np.log(docs / docs.sum()) if langs else docs, usual)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, lang_pred, score of each row: the likeliest of the model's languages and its posterior probability.
+    """doc_id, lang_pred, score, fit of each row: the likeliest of the model's languages, its posterior probability among them, and how much the
+    text is like that language's own (see Model.predict), which a text in a language that wasn't learned is not.
 
-    The whole text counts. Null texts and texts without a letter are UNKNOWN with score 0, and so is everything if the model has learned no
+    The whole text counts. Null texts and texts without a letter are UNKNOWN with score and fit 0, and so is everything if the model has learned no
     language. The first language in alphabetical order wins ties. Repeated rows are each returned, null doc_ids too; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
@@ -129,10 +139,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, texts in _texts(b.column(1)):
-                names, scores = sent.value.predict(texts) if sent.value.langs else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+                names, scores, fits = sent.value.predict(texts) if sent.value.langs else ([UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array(names, pa.string()), pa.array(scores), pa.array(fits)], names=["doc_id", "lang_pred", "score", "fit"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, lang_pred string, score double, fit double")
 
 
 def held_out(doc_id) -> F.Column:
