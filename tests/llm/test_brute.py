@@ -67,7 +67,7 @@ def test_jaccard(spark, monkeypatch, seed, k, num, small):
         monkeypatch.setattr(jaccard, "OFTEN", 3)
         monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     docs = list(enumerate(variants(random.Random(seed), 120)))
-    out, links = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), k, num, 100)
+    out, links = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), k, num, 100, pairs=True)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute_components(docs, k, num, 100)
     texts = dict(docs)
     for r in links.collect():
@@ -83,7 +83,13 @@ def test_jaccard_links(spark, monkeypatch, seed, k, num, small):
         monkeypatch.setattr(jaccard, "GROUP", 2)
         monkeypatch.setattr(jaccard, "OFTEN", 3)
     docs = list(enumerate(variants(random.Random(seed), 120)))
-    _, links = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), k, num, 100)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    out, links = jaccard.jaccard_components(frame, k, num, 100, pairs=True)
+    own = {d: shingles(x, k) for d, x in docs}
+    count = {a: sum(a != b and 100 * len(own[a] & own[b]) >= num * len(own[a] | own[b]) and bool(own[a]) for b in own) for a in own}
+    assert {r.doc_id: r.n_links for r in out.collect()} == count
+    plain, none = jaccard.jaccard_components(frame, k, num, 100)
+    assert none is None and {r.doc_id: r.n_links for r in plain.collect()} == count
     sets = {}
     for d, x in docs:
         sets.setdefault(shingles(x, k), d)
@@ -185,7 +191,7 @@ def test_licenses(spark):
 
 
 def test_url_index():
-    assert urlfilter.literal_tokens(r"://(?:[^/?#]*\.)?cheap-pills\.") == ["pills"]
+    assert urlfilter.literal_tokens(r"://(?:[^/?#]*\.)?cheap-pills\.") == ["cheap", "pills"] and urlfilter.literal_tokens(r"x(?:[^/]*\.)?a-b") == []
     assert urlfilter.literal_tokens(r"/(foo|bar)/baz/") == ["baz"] and urlfilter.literal_tokens(r"foo") == [] and urlfilter.literal_tokens(r"/foo?/") == []
     r = random.Random(1)
     rules = [urlfilter.PatternRule(f"r{i}", p) for i, p in enumerate([r"/ads/", r"[/.]track[/.]", r"\?id=[0-9]+$", r"/a(b|c)d/", r"//x-y\.", r"/ads/big/", r"q=(?:cat|dog)&", r"/Z/"])]
@@ -258,12 +264,150 @@ def test_label_model():
     assert ((m.posterior(v) > 0.5) == good).mean() > 0.95 and abs(m.good - 0.85) < 0.05
 
 
-def test_quality(spark):
+def plain_votes(text):
+    """Votes by plain loops."""
+    w = (text or "").encode().split()
+    if not w:
+        return [quality.NONE] * len(quality.RULES)
+    t, n = text.encode(), len(w)
+    punctuation = set(range(33, 127)) - {c for c in range(128) if chr(c).isalnum()}
+    letters = [c for c in t if 65 <= c <= 90 or 97 <= c <= 122]
+    first = [t[i] for i in range(len(t)) if t[i] > 32 and (i == 0 or t[i - 1] <= 32)]
+    lines = t.splitlines()
+    shares = {
+        "symbols": (sum(chr(c) in "#$%&*+<=>@[]^_`{}~\\" for c in t), len(t)),
+        "capitals": (sum(c < 97 for c in letters), len(letters)),
+        "repeats": (len(set(w)) * max(1, np.log10(max(10, n)) / 2), n),
+        "columns": (sum(c in (124, 9) for c in t), n),
+        "marks": (sum(c in punctuation for c in t), n),
+        "doubled": (sum(a == b and a in punctuation for a, b in zip(t, t[1:], strict=False)), n),
+        "starts": (sum(c >= 128 or 97 <= c <= 122 for c in first) / max(1, len(first)) * n, n),
+        "sentences": (sum(x.rstrip()[-1:] in (b".", b"!", b"?", b":", b'"', b"'") and x.rstrip() != b"" for x in lines), len(lines)),
+        "stutter": (sum(a == b for a, b in zip(w, w[1:], strict=False)), n),
+        "commonest": (max(Counter(w).values()), n),
+    }
+    out = []
+    for name, bad, good, weight in quality.RULES:
+        x = (shares[name][0] + weight * (bad + good) / 2) / (shares[name][1] + weight)
+        out.append(0 if (x > bad if bad > good else x < bad) else 1 if (x < good if bad > good else x > good) else 2)
+    return out
+
+
+def test_quality(spark, sf_dir):
+    """The whole query: votes by plain loops, a label model that a plain step of expectation-maximisation leaves as it is, weights where the
+    plain loss is flat, scores and decisions from them."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = {r.doc_id: r.text for r in rows.collect()}
+    scorer = quality.learn(rows)
+    own = {d: plain_votes(t) for d, t in docs.items()}
+    assert {d: v for d, v in zip(docs, quality.votes([(t or "").encode() for t in docs.values()]).tolist(), strict=True)} == own
+
+    def posterior(v):
+        p = [1 - scorer.labels.good, scorer.labels.good]
+        for k, x in enumerate(v):
+            p = [p[y] * scorer.labels.table[k][y][x] for y in (0, 1)]
+        return p[1] / sum(p)
+
+    label = {d: posterior(v) for d, v in own.items()}
+    for k in range(len(quality.RULES)):
+        for y in (0, 1):
+            n = [sum((label[d] if y else 1 - label[d]) for d, v in own.items() if v[k] == x) for x in (0, 1)]
+            n = [n[x] + quality.PRIOR[y][x] * (1 + quality.FIRM * sum(n)) for x in (0, 1)]
+            assert abs(n[1] / sum(n) - scorer.labels.table[k][y][1]) < 1e-4
+    w, flat, total = scorer.weights, scorer.weights * quality.DECAY, len(docs)
+    texts = Counter(docs.values())
+    score = {}
+    for t, copies in texts.items():
+        bucket, value, _ = quality.features([(t or "").encode()])
+        score[t] = 1 / (1 + np.exp(-sum(w[b] * v for b, v in zip(bucket, value, strict=True)) - w[-1]))
+        e = copies * (score[t] - posterior(plain_votes(t))) / total
+        np.add.at(flat, bucket, e * value)
+        flat[-1] += e
+    assert np.abs(flat).max() < 3 * quality.TOLERANCE
+    got = {r.doc_id: (r.score, r.kept) for r in quality.quality_scores(rows).collect()}
+    assert all(abs(got[d][0] - score[t]) < 1e-4 for d, t in docs.items())
+
+    def gap(least):
+        good = sum(label[d] for d, t in docs.items() if score[t] >= least) / sum(label.values())
+        return good - sum(1 - label[d] for d, t in docs.items() if score[t] >= least) / sum(1 - x for x in label.values())
+
+    assert gap(scorer.least) >= max(gap(x) for x in score.values()) - 1e-6 and sum(got[d][1] != (score[t] >= scorer.least) for d, t in docs.items()) <= 1
+
+
+def test_quality_of_labelled_documents(spark):
     docs, labels = (read(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
-    some = docs.join(labels, "doc_id").where("doc_id % 3 = 0")
-    got = quality.quality_scores(some).join(labels, "doc_id").collect()
+    got = quality.quality_scores(docs).join(labels, "doc_id").collect()
     good, bad = [r.kept for r in got if r.quality], [r.kept for r in got if not r.quality]
-    assert np.mean(good) > 0.98 and np.mean(bad) < 0.5
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.05
+
+
+def test_a_hot_text_is_one_row_of_the_sample(spark):
+    """Rows without an id are drawn by their texts, and equal texts are one weighted row."""
+    text = "The river runs along the old town. People walk there in the evening."
+    rows = [(None, f"{text} Number {i} of them is a little longer.") for i in range(3000)] + [(None, text)] * 2000 + [(None, f"x{i} | y | z | " * 20) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality.quality_scores(docs, sample=600).groupBy("kept").count().collect()
+    assert {r.kept: r["count"] for r in got} == {True: 5000, False: 1000}
+
+
+def test_language_by_plain_counts(spark, sf_dir):
+    """The whole query again by dictionaries of n-grams."""
+    import zlib
+
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows}
+    full = 2**64 - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    @lru_cache(None)
+    def bucket(gram):
+        h = 0
+        for n, c in enumerate(gram, 1):
+            h = mixed((h + ord(c) + (n << 40)) & full)
+        return h >> (64 - langid.BITS)
+
+    def grams(text):
+        if not text:
+            return Counter()
+        t = re.sub(r"(?:[^\w]|[\d_])+", " ", " " + text.lower() + " ")
+        return Counter(bucket(t[i : i + n]) for n in langid.LENGTHS for i in range(len(t) - n + 1))
+
+    counts, docs = {}, Counter()
+    for r in rows:
+        if not held[r.doc_id] and r.lang is not None and r.text is not None:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+            docs[r.lang] += 1
+    sums = {k: sum(c.values()) + langid.SMOOTH * 2**langid.BITS for k, c in counts.items()}
+    got = {r.doc_id: r for r in langid.language_id(read(spark, sf_dir, "documents")).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        own = grams(r.text)
+        logs = {k: np.log(docs[k] / sum(docs.values())) + sum(n * np.log((counts[k][b] + langid.SMOOTH) / sums[k]) for b, n in own.items()) for k in sorted(counts)}
+        best = max(logs, key=logs.get)
+        want = best if any(c.isalpha() for c in r.text or "") else "und"
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].held_out) == (want, held[r.doc_id])
+        if want != "und":
+            assert abs(got[r.doc_id].score - 1 / sum(np.exp(x - logs[best]) for x in logs.values())) < 1e-6
+
+
+def test_marks_do_not_cut_words():
+    one, two = langid.grams(["हिन्दी"]), langid.grams(["ह न द"])
+    assert one[1][0] == 3 * 6 + 2 + 1 and one[2][0] == 3 and two[2][0] == 3
+
+
+def test_filter_rules_run_few_expressions(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").unionByName(spark.createDataFrame([(-1, "http://cheap-pills.x/", None), (-2, "http://a/deal/bets/x", None), (-3, "http://a/win.win/", None)], "page_id long, url string, html string"))
+    got = urlfilter.url_verdicts(pages, [], Q.PATTERNS).collect()
+    by = {r.page_id: r for r in got}
+    assert by[-1].pattern == "||cheap-pills." and by[-2].pattern == "/deal/bets/*" and by[-3].verdict == "allow"
+    assert len(Q.PATTERNS) > 2000 and max(r.regexes for r in got) < 150 and np.mean([r.regexes for r in got]) < 30
+    with pytest.raises(ValueError, match="not a URL pattern"):
+        urlfilter.parse_filters(["@@||x^"])
+    assert [bool(re.search(urlfilter.parse_filters(["||x.y^"])[0].pattern, u)) for u in ("http://x.y/", "http://a.x.y", "http://ax.y/", "http://b/x.y/", "http://x.yz")] == [True, True, False, False, False]
 
 
 def test_pipeline(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if it has been counted and holds at most so many rows of a few machine words.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only if it has been counted and holds at most so many rows, and at most so many bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Text bytes that one step of the numpy code works on; a longer single text is still taken whole.
 SLICE_BYTES = 500_000
 #: Rows and bytes of an Arrow batch at most, so that an executor's Python workers hold little of long texts at a time.
@@ -28,9 +29,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir, with its scheme; where unset, a local one is set."""
+    """The folder that driver and executors share, from spark.checkpoint.dir, with its scheme. Where that is unset a local session gets a
+    temporary one; a cluster must set it, since its machines would not see each other's."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vtable-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
@@ -62,9 +66,9 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def checked(small: DataFrame, rows: int) -> DataFrame:
-    """small with a broadcast hint if its counted rows are within BROADCAST_ROWS, else as it is, to be joined by a shuffle."""
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+def checked(small: DataFrame, rows: int, width: int = 32) -> DataFrame:
+    """small with a broadcast hint if its counted rows, of about width bytes each, are within the limits, else as it is, to be joined by a shuffle."""
+    return F.broadcast(small) if rows <= BROADCAST_ROWS and rows * width <= BROADCAST_BYTES else small
 
 
 def free_name(df: DataFrame, name: str) -> str:

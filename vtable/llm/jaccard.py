@@ -99,11 +99,21 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, t: Threshold) -> tuple[np.nd
     return sums[order], sets[order]
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("place", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+
+
+def set_keys(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each set."""
+    ends = np.cumsum(sizes)
+    keys = []
+    for salt in (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)):
+        total = np.concatenate(([np.uint64(0)], np.cumsum(mix(flat ^ salt), dtype=np.uint64)))
+        keys.append(mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64)).view(np.int64))
+    return keys
 
 
 def set_rows(words: int, num: int, den: int):
-    """For mapInArrow: doc_id and text to the set's size, its two hashes and its signatures.
+    """For mapInArrow: doc_id, text and place to the set's size, its two hashes and its signatures.
 
     Of equal sets that are near each other only the first that has a doc_id has signatures; they would be the same.
     """
@@ -113,11 +123,7 @@ def set_rows(words: int, num: int, den: int):
         for b in batches:
             for lo, texts in text_slices(b.column(1)):
                 flat, sizes = shingle_sets(texts, words)
-                ends = np.cumsum(sizes)
-                keys = []
-                for salt in (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)):
-                    total = np.concatenate(([np.uint64(0)], np.cumsum(mix(flat ^ salt), dtype=np.uint64)))
-                    keys.append(mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64)).view(np.int64))
+                keys = set_keys(flat, sizes)
                 named = np.flatnonzero(b.column(0).slice(lo, len(texts)).is_valid().to_numpy(zero_copy_only=False))
                 _, first = np.unique(np.stack(keys, 1)[named], axis=0, return_index=True)
                 twin = np.ones(len(sizes), bool)
@@ -127,13 +133,13 @@ def set_rows(words: int, num: int, den: int):
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(sets, minlength=len(sizes))))).astype(np.int32)
                 none = pa.array(sizes == 0)
                 keys = [pa.array(k, mask=none.to_numpy(zero_copy_only=False)) for k in keys]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)).cast(pa.int64()), pa.array(sizes), *keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.view(np.int64)))], schema=SETS)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)).cast(pa.int64()), pa.array(sizes), *keys, b.column(2).slice(lo, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.view(np.int64)))], schema=SETS)
 
     return rows
 
 
-def link_block(sets: list[np.ndarray], query: np.ndarray, cross: bool, elsewhere: list[list[int]], t: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Every link among the sets of a block, by position: its two ends, and whether it joins two components of those before it.
+def link_block(sets: list[np.ndarray], query: np.ndarray, cross: bool, elsewhere: list[list[int]], t: Threshold) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Every link among the sets of a block, by position: one end, the other ends, and whether each joins two components of those before it.
 
     With cross only queries and others are compared with each other. Sets that have a number of elsewhere in common are not compared.
 
@@ -178,7 +184,7 @@ def link_block(sets: list[np.ndarray], query: np.ndarray, cross: bool, elsewhere
                     if comp[js[k]] != comp[i]:
                         joins[k] = True
                         comp[comp == comp[i]] = comp[js[k]]
-                yield np.full(len(js), order[i]), order[js], joins
+                yield int(order[i]), order[js], joins
         inside[own] = False
 
 
@@ -196,47 +202,57 @@ def shared_bits(lists: list[list[int]]) -> np.ndarray:
 
 #: Links in a batch that link_rows gives.
 LINK_ROWS = 100_000
-LINKS = "a long, b long, joins boolean"
+LINKS = "a long, b long, links long, joins boolean"
 
 
-def link_rows(words: int, num: int, den: int):
-    """For mapInArrow over rows sorted by group: pivot, block, part, query, earlier, doc_id, text. Gives the links of each group.
+def link_rows(words: int, num: int, den: int, pairs: bool):
+    """For mapInArrow over rows sorted by group: pivot, block, part, query, earlier, node, copies, k1, k2, text. Gives, for each group, of
+    each node with links how many rows it is linked with there (a, links), the links that join components of the group (a, b), and all
+    others too if pairs are asked for.
 
-    Where block and part differ, sets of the one are compared with those of the other.
+    Where block and part differ, sets of the one are compared with those of the other. Rows whose text is not that of the set (another text
+    of the same doc_id) are passed over.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Threshold(num, den)
         for table in runs(batches, ["pivot", "block", "part"]):
-            ids, query, earlier = (table.column(c).to_pylist() for c in ("doc_id", "query", "earlier"))
+            node, copies, k1, k2 = (table.column(c).to_numpy() for c in ("node", "copies", "k1", "k2"))
+            query, earlier = (table.column(c).to_pylist() for c in ("query", "earlier"))
             texts = [x for c in table.column("text").chunks for x in binary_list(c)]
             flat, sizes = shingle_sets(texts, words)
             ends = np.cumsum(sizes)
-            sets = [flat[e - n : e] for e, n in zip(ends, sizes, strict=True)]
-            # rows that repeat a doc_id and its set count once
-            once = list({(d, x.tobytes()): k for k, (d, x) in enumerate(zip(ids, sets, strict=True)) if len(x)}.values())
-            ids = np.array([ids[k] for k in once], np.int64)
+            own = set_keys(flat, sizes)
+            # rows that repeat a doc_id and its text count once
+            once = list({int(node[k]): k for k in np.flatnonzero((own[0] == k1) & (own[1] == k2) & (sizes > 0)).tolist()}.values())
+            node, copies = node[once], copies[once]
             cross = table.column("block")[0].as_py() != table.column("part")[0].as_py()
             asks = np.array([query[k] for k in once], bool)
             if len(once) < 2 or (cross and (asks.all() or not asks.any())):
                 continue
-            held, n = [], 0
-            for link in link_block([sets[k] for k in once], asks, cross, [earlier[k] for k in once], t):
-                held.append(link)
-                n += len(link[0])
+            linked, held, n = np.zeros(len(once), np.int64), [], 0
+            for i, js, joins in link_block([flat[ends[k] - sizes[k] : ends[k]] for k in once], asks, cross, [earlier[k] for k in once], t):
+                linked[i] += copies[js].sum()
+                linked[js] += copies[i]
+                some = np.ones(len(js), bool) if pairs else joins
+                held.append((np.full(int(some.sum()), i), js[some], joins[some]))
+                n += len(held[-1][0])
                 if n >= LINK_ROWS:
-                    yield link_batch(ids, held)
+                    yield link_batch(node, held)
                     held, n = [], 0
-            if held:
-                yield link_batch(ids, held)
+            if n:
+                yield link_batch(node, held)
+            if len(at := np.flatnonzero(linked)):
+                none = pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), none, pa.array(linked[at]), pa.nulls(len(at), pa.bool_())], names=["a", "b", "links", "joins"])
 
     return rows
 
 
-def link_batch(ids: np.ndarray, links: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def link_batch(node: np.ndarray, links: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     i, j, joins = (np.concatenate(x) for x in zip(*links, strict=True))
-    a, b = ids[i], ids[j]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(joins)], names=["a", "b", "joins"])
+    a, b = node[i], node[j]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64()), pa.array(joins)], names=["a", "b", "links", "joins"])
 
 
 def head_rows(signature: np.ndarray, pivot: np.ndarray):
@@ -279,13 +295,14 @@ def shared_signatures(scratch: Scratch, sets: DataFrame, rows: int) -> DataFrame
     return hot.unionByName(rest.where("pivot < last").select("k1", "pivot")).distinct()
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(result, links): doc_id, n_shingles, component_id of each row of docs, and every link (a, b), a <= b, between different texts, once.
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id", pairs: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(result, links): doc_id, n_shingles, component_id, n_links of each row of docs; with pairs also every link (a, b), a <= b, between
+    different texts, once.
 
-    A text's links are those of the smallest doc_id that has it; n similar texts have n (n - 1) / 2 links.
-
-    Two documents are linked when the Jaccard similarity of their sets of distinct word shingles is num / den or more; component_id is the
-    smallest doc_id that links lead to. Tokens are 64-bit hashes of shingles.
+    Two rows are linked when the Jaccard similarity of their sets of distinct word shingles is num / den or more; component_id is the
+    smallest doc_id that links lead to, n_links the number of rows linked with. Tokens are 64-bit hashes of shingles. In links a text is
+    named by the smallest doc_id that has it; n similar texts have n (n - 1) / 2, so they are counted where they are found and
+    only made rows when asked for.
 
     Token-group matrix: equal sets count once. Sets that share a signature (see Threshold) meet around one of them, so any two similar
     sets meet. Those that meet are partitioned into groups of similar sets with a token union each; a query opens only the groups whose
@@ -293,32 +310,66 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     blocks, and each block's sets are queries to the later blocks. Two sets that meet around several sets are compared at the least of them.
     Components need only the links that join two components of a block; those are told apart where they are found.
 
-    Nulls, empty texts and texts of white space have an empty set: n_shingles 0, linked with nothing, component_id their own doc_id. Rows with
-    the same doc_id and rows without one are each returned; a null doc_id joins no component. Other columns are not read. An empty table gives
-    an empty result.
+    Nulls, empty texts and texts of white space have an empty set: n_shingles 0, linked with nothing, component_id their own doc_id. Rows,
+    not ids, are what is linked: rows of one doc_id with different texts are linked only if the texts are similar, and repeated rows are copies of
+    each other. Rows without a doc_id are returned with their n_shingles, but are linked with nothing. Other columns are not read. An
+    empty table gives an empty result.
     """
+    out, links = _joined(docs, words, num, den, text, doc_id, pairs)
+    return out.drop("place", "stands"), links
+
+
+def _joined(docs: DataFrame, words: int, num: int, den: int, text: str, doc_id: str, pairs: bool) -> tuple[DataFrame, DataFrame | None]:
+    """What jaccard_components() returns, with place (hash of the text) and stands (whether the row is the first of its component)."""
     scratch = Scratch(docs.sparkSession)
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = scratch.write(docs.mapInArrow(set_rows(words, num, den), "doc_id long, n long, k1 long, k2 long, sigs array<long>"), "sets")
-    total = sets.count()
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("place"))
+    sets = scratch.write(docs.mapInArrow(set_rows(words, num, den), "doc_id long, n long, k1 long, k2 long, place long, sigs array<long>"), "sets")
     keyed = sets.where("k1 is not null and doc_id is not null")
-    kinds = scratch.write(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "kinds")
-    near = scratch.write(shared_signatures(scratch, sets.where("doc_id is not null"), total), "near")
+    # the text of a set is fetched by the doc_id and the hash of one row that has it
+    kinds = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place")).alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    kinds = scratch.write(kinds.select("k1", "k2", "rep.doc_id", "rep.place", "n", "copies").withColumn("node", F.monotonically_increasing_id()), "kinds")
+    near = scratch.write(shared_signatures(scratch, sets.where("doc_id is not null"), sets.count()), "near")
     # two different sets may have the same k1: each has its own row here
-    members = scratch.write(near.join(kinds, "k1").select("pivot", "rep", "n"), "members")
-    sizes = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    pivots = members.groupBy("rep").agg(F.collect_set("pivot").alias("pivots"))
-    placed = members.join(sizes, "pivot").join(pivots, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = scratch.write(placed.selectExpr("pivot", "greatest(own, other) block", "least(own, other) part", "rep", "own < other query", "filter(pivots, p -> p < pivot) earlier"), "placed")
+    members = scratch.write(near.join(kinds, "k1").drop("doc_id", "place"), "members")
+    large = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")).where("blocks > 1")
+    large = scratch.write(large, "large")
+    pivots = members.groupBy("node").agg(F.collect_set("pivot").alias("pivots"))
+    placed = members.join(checked(large, large.count()), "pivot", "left").join(pivots, "node").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.selectExpr("pivot", "greatest(own, other) block", "least(own, other) part", "own < other query", "filter(pivots, p -> p < pivot) earlier", "node")
+    placed = scratch.write(placed, "placed")
+    wanted = placed.join(kinds.select("node", "doc_id", "place", "copies", "k1", "k2"), "node")
     keys = ["pivot", "block", "part"]
-    texts = docs.join(checked(placed, placed.count()), docs.doc_id == placed.rep).drop("rep")
-    links = scratch.write(texts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link_rows(words, num, den), LINKS), "links")
-    edges = links.select("a", "b")
-    labels = components(scratch, links.where("joins").select("a", "b"))
-    named = kinds.join(labels, kinds.rep == labels.node, "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"), "copies", "comp").toDF("k1", "k2", "comp", "copies", "linked").where("copies > 1 or linked is not null").drop("copies", "linked")
-    slim = sets.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
-    out = slim.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.expr("case when doc_id is not null then coalesce(comp, doc_id) end").alias("component_id"))
+    texts = docs.join(checked(wanted, placed.count(), 150), ["doc_id", "place"]).drop("doc_id", "place")
+    texts = texts.select(*keys, "query", "earlier", "node", "copies", "k1", "k2", "text")
+    found = scratch.write(texts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link_rows(words, num, den, pairs), LINKS), "links")
+    labels = components(scratch, found.where("joins").select("a", "b"))
+    rep = F.struct("doc_id", "place").alias("rep")
+    labels = labels.join(kinds.select("node", rep), "node")
+    labels = scratch.write(labels.join(labels.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select("node", "least"), "least")
+    linked = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
+    named = kinds.join(labels, "node", "left").join(linked, "node", "left").where("copies > 1 or least is not null")
+    named = named.select("k1", "k2", F.coalesce("least", rep).alias("first"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    slim = sets.select("doc_id", "place", F.col("n").alias("n_shingles"), "k1", "k2").join(named, ["k1", "k2"], "left")
+    known = F.col("doc_id").isNotNull() & F.col("first").isNotNull()
+    stands = ~known | ((F.col("doc_id") == F.col("first.doc_id")) & F.col("place").eqNullSafe(F.col("first.place")))
+    out = slim.select("doc_id", "place", "n_shingles", F.when(known, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(known, F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"), stands.alias("stands"))
+    links = None
+    if pairs:
+        ids = kinds.select("node", "doc_id")
+        links = found.where("b is not null").join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        links = scratch.write(links, "pairs")
     out = scratch.write(out, "out")
-    scratch.drop("sets", "kinds", "near", "heads", "members", "placed", "labels")
-    return out, edges
+    scratch.drop("sets", "kinds", "near", "heads", "members", "large", "placed", "links", "labels", "least")
+    return out, links
+
+
+def near_deduplicated(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs, with all columns, without the rows that jaccard_components() links to one that stays: of each component the row with the
+    smallest doc_id stays, of those the one with the least hash of its text. Rows with one doc_id and text are one document and stay
+    together; rows without a doc_id, or without words, all stay.
+    """
+    found, _ = _joined(docs, words, num, den, text, doc_id, False)
+    gone = found.where("not stands").select(F.col("doc_id").alias("__d"), F.col("place").alias("__p")).distinct()
+    return docs.join(checked(gone, gone.count()), (docs[doc_id].cast("long") == F.col("__d")) & (F.xxhash64(docs[text]) == F.col("__p")), "left_anti")

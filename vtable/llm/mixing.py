@@ -38,25 +38,28 @@ def rates(docs: DataFrame, weights: dict[str, float], total: int | None, source:
     return {s: total * w / there / counts[s] for s, w in weights.items() if counts.get(s) and w > 0}
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float], total: int | None = None, seed: int = 0, source: str = "source", doc_id: str = "doc_id", partitions: int | None = None, default: float = 0.0) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float], total: int | None = None, seed: int = 0, source: str = "source", doc_id: str = "doc_id", text: str = "text", partitions: int | None = None, default: float = 0.0) -> DataFrame:
     """All columns of docs, with rate (mean repetitions), copy (0, 1, ...) and shuffle_key, in global random order.
 
     Each document is repeated as often as a Poisson count with its source's rate says, which inverting the distribution at a number hashed
-    from seed and doc_id gives: the same in any run and partitioning. Sources that aren't in weights have the rate default,
+    from seed, doc_id, source and the text's MD5 gives: the same in any run and partitioning. Sources that aren't in weights have the rate default,
     beside the total; those without a positive weight have rate 0. A null source is the source "". total is the expected number of rows; by default that of the weighted sources' documents.
 
     The rates come from counts of the sources in weights, at most one number for each; each row's count is found in its source's few
     steps, and copies are made where the row is. The one shuffle deals rows by their random key, so a source with most of the rows is
-    spread evenly; within a partition the key orders them.
+    spread evenly; within a partition the key orders them. Rows with the same key, which only repeated rows have, are split over tasks
+    where they make a partition too large (REBALANCE).
 
-    Rows with the same doc_id are replicated alike; a null doc_id counts as empty for the hash. Texts are carried, not looked at. Where
+    Rows with the same doc_id, source and text are replicated alike: all or none of them, in the same numbers. A null doc_id, source or text
+    counts as empty for the hash, so rows that have no doc_id are drawn by their texts. Where
     docs has columns named rate, copy or shuffle_key, the new ones have an underscore behind their name. No weights without a
     default, or an empty table, give an empty result.
     """
     rate, copy, key = (free_name(docs, n) for n in ("rate", "copy", "shuffle_key"))
     found = rates(docs, weights, total, source)
     own = F.coalesce(F.col(source), F.lit(""))
-    u = uniform(F.lit(seed), F.col(doc_id))
+    identity = [F.lit(seed), F.col(doc_id), F.col(source), F.md5(F.coalesce(F.col(text), F.lit("")))]
+    u = uniform(*identity)
     if found:
         mean = F.coalesce(F.create_map(*[x for s, r in found.items() for x in (F.lit(s), F.lit(r))])[own], F.lit(0.0))
         steps = {s: poisson_steps(r) for s, r in found.items()}
@@ -71,7 +74,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], total: int | None =
         mean = F.when(known, mean).otherwise(F.lit(float(default)))
         count = F.when(known, count).otherwise(F.lit(start) + F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("__u"))))
     rows = docs.withColumn("__u", u).withColumn("__n", count).where("__n > 0").withColumn(rate, mean)
-    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__u", "__n")
-    rows = rows.withColumn(key, uniform(F.lit(seed), F.col(doc_id), F.col(copy)))
-    dealt = rows.repartition(partitions, key) if partitions else rows.repartition(key)
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    rows = rows.withColumn(key, uniform(*identity, F.col(copy))).drop("__u", "__n")
+    dealt = rows.hint("rebalance", partitions, F.col(key)) if partitions else rows.hint("rebalance", F.col(key))
     return dealt.sortWithinPartitions(key)

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import Scratch, checked, read
 from .decontaminate import MASKS, PERCENT, WINDOW, leaks
 from .exact import exact_dedup
 from .jaccard import jaccard_components
 from .langid import language_id
-from .licenses import BLOCK, CONTAINED, NOTICES, license_scan
+from .licenses import BLOCK, CONTAINED, TEMPLATES, license_scan
 from .mixing import mix_sources
 from .quality import quality_scores
 from .tokens import load_pieces, token_counts
-from .urlfilter import LOWER, UPPER, DomainRule, PatternRule, url_verdicts
+from .urlfilter import LOWER, UPPER, DomainRule, parse_filters, url_verdicts
 from .warc import archive
 
 
@@ -25,54 +25,62 @@ OTHERS = 1.0
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, each as often as its Poisson count says: all columns, rate (rounded to nine places), copy, shuffle_key. See mix_sources."""
     docs = read(spark, sf_dir, "documents")
     return mix_sources(docs, WEIGHTS, seed=7, default=OTHERS).withColumn("rate", F.round("rate", 9))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, records = archive(spark, read(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
+    """pages written to archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to of each row. See write_warc."""
+    records = archive(spark, read(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of each row of documents, for four-word shingles and 0.85. See jaccard_components."""
     return jaccard_components(read(spark, sf_dir, "documents"), words=4, num=85, den=100)[0]
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of each row of documents. See exact_dedup."""
     return exact_dedup(read(spark, sf_dir, "documents"), digest="text_sha256")
 
 
 DOMAINS = [DomainRule("net", "/", "block"), DomainRule("example.net", "/en/", "allow"), DomainRule("example.com", "/de/", "block"), DomainRule("org", "/fr/", "allow")]
-PATTERNS = [
-    PatternRule("pills", r"://(?:[^/?#]*\.)?cheap-pills\."),
-    PatternRule("casino", r"://(?:[^/?#]*\.)?casino-win\."),
-    PatternRule("bets", r"://(?:[^/?#]*\.)?free-bets\."),
-    PatternRule("farm", r"://(?:[^/?#]*\.)?spam-farm\."),
-    PatternRule("ads", r"://(?:[^/?#]*\.)?ads-track\."),
-    PatternRule("address", r"://[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+(?:[:/?#]|$)"),
-]
+#: Words that hosts and paths of spam are made of; each pair of one of the first and one of the second makes two rules.
+LURES = "ads all-new best big bonus buy casino cheap cool crazy daily deal easy extra fast first free fresh gold great hot instant lucky mega new online real smart spam super top win".split()
+WARES = "bank bets bids bonus cards cash coins credit dating deals diet drugs farm gems gifts hacks jobs loans lotto money offers pills poker prizes promo shop slots stream tokens track videos win".split()
+FILTERS = [*(f"||{a}-{b}." for a in LURES for b in WARES), *(f"/{a}/{b}/*" for a in LURES for b in WARES), r"/://[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+(?:[:/?#]|$)/"]
+PATTERNS = parse_filters(FILTERS)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, pattern of each row of pages, under DOMAINS and the two thousand rules of FILTERS. See url_verdicts."""
     return url_verdicts(read(spark, sf_dir, "pages"), DOMAINS, PATTERNS).drop("regexes")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, contaminated, n_items, most_words of each row of documents: whether it holds items of benchmark, how many, and the most equal
+    words. Rows with one doc_id share their finding; a row without a doc_id has none. See leaks."""
     docs = read(spark, sf_dir, "documents")
     found = leaks(docs, read(spark, sf_dir, "benchmark")).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("words").alias("most_words"))
-    every = docs.select("doc_id").join(found, "doc_id", "left")
+    found = Scratch(spark).write(found, "found")
+    every = docs.select("doc_id").join(checked(found, found.count()), "doc_id", "left")
     return every.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("most_words", F.lit(0)).alias("most_words"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, template, license, containment, word: a row for each template that a row of documents holds. See license_scan."""
     return license_scan(read(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, score, kept of each row of documents. See quality_scores."""
     return quality_scores(read(spark, sf_dir, "documents"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each row of documents. See language_id."""
     return language_id(read(spark, sf_dir, "documents"))
 
 
@@ -81,6 +89,7 @@ TOKENIZERS, MODEL = "/opt/tokenizers", "piece_bpe_32k.model"
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pretokens, n_tokens of each row of documents. See token_counts."""
     return token_counts(read(spark, sf_dir, "documents"), load_pieces(f"{TOKENIZERS}/{MODEL}"))
 
 
@@ -104,7 +113,7 @@ _MASKED = " UNION ALL ".join(
     for k, m in enumerate(MASKS)
 )
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-_NOTICES = ", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate(NOTICES))
+_NOTICES = ", ".join("({}, '{}', '{}')".format(k, n, t.replace("'", "''")) for k, (n, t) in enumerate(TEMPLATES))
 _TERMS = rf"list_filter(regexp_split_to_array(translate(coalesce({{}}, ''), '{UPPER}', '{LOWER}'), '[^0-9a-z\x{{{{80}}}}-\x{{{{10FFFF}}}}]+'), lambda x: x <> '')"
 _THREES = "list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))"
 _DOMAINS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in DOMAINS)
@@ -118,11 +127,12 @@ c AS (SELECT coalesce(source, '') s, count(*) n FROM documents GROUP BY 1),
 r AS (SELECT s, (SELECT sum(n) FROM c JOIN w USING (s)) * weight / (SELECT sum(weight) FROM c JOIN w USING (s)) / n rate FROM c JOIN w USING (s)),
 step AS (SELECT s, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) p
          FROM r, range(0, 120) t(k) WHERE k < rate + 40 * sqrt(rate) + 60),
-u AS (SELECT *, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 u FROM documents),
-n AS (SELECT u.doc_id, r.rate, (SELECT count(*) FROM step WHERE step.s = r.s AND step.p <= u.u) n FROM u JOIN r ON r.s = coalesce(u.source, '')),
-e AS (SELECT doc_id, rate, unnest(range(0, n)) copy FROM n)
+i AS (SELECT *, '7:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(source, '') || ':' || md5(coalesce(text, '')) i FROM documents),
+u AS (SELECT doc_id, source, i, ('0x' || substr(md5(i), 1, 13))::BIGINT / 4503599627370496.0 u FROM i),
+n AS (SELECT u.doc_id, u.i, r.rate, (SELECT count(*) FROM step WHERE step.s = r.s AND step.p <= u.u) n FROM u JOIN r ON r.s = coalesce(u.source, '')),
+e AS (SELECT doc_id, i, rate, unnest(range(0, n)) copy FROM n)
 SELECT d.*, round(rate, 9) rate, copy::INTEGER AS copy,
-  ('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, '') || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0 shuffle_key
+  ('0x' || substr(md5(i || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0 shuffle_key
 FROM documents d JOIN e USING (doc_id)
 """,
     "op2_warc": f"""
@@ -190,6 +200,7 @@ both_ AS (SELECT a.doc_id a, b.doc_id b, count(*) i FROM s a JOIN s b ON a.sh =
 link AS (
   SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
 reach AS (SELECT doc_id, doc_id r FROM n UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.r = link.a)
-SELECT n.doc_id, n.n::BIGINT n_shingles, min(r)::BIGINT component_id FROM n JOIN reach USING (doc_id) GROUP BY ALL
+SELECT n.doc_id, n.n::BIGINT n_shingles, min(r)::BIGINT component_id, (SELECT count(*) FROM link WHERE a = n.doc_id)::BIGINT n_links
+FROM n JOIN reach USING (doc_id) GROUP BY ALL
 """,
 }

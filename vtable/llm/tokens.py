@@ -17,8 +17,8 @@ from .common import bounded_batches, mix, text_slices
 SPACE = "▁"
 #: A character that is no piece scores so much less than the worst piece and counts as its UTF-8 bytes.
 PENALTY = 10.0
-#: Text bytes whose distinct pre-tokens share a trie.
-TRIE_BYTES = 4_000_000
+#: Pre-tokens whose counts a task holds at most; beyond that it begins anew.
+HELD = 200_000
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -117,22 +117,28 @@ def token_counts(docs: DataFrame, pieces: dict[str, float], text: str = "text",
     """doc_id, n_pretokens, n_tokens of each row. Pre-tokens are runs of anything but ASCII white space.
 
     pieces, of which a vocabulary has some ten thousand, is sent to all tasks. Nothing is shuffled: a task takes its texts in slices, whole
-    texts each, and only the distinct pre-tokens of a slice go through the trie.
+    texts each; those of a slice's distinct pre-tokens that the task hasn't met go through the trie, and their terminal counts are held.
 
-    Nulls and texts without words count 0. Repeated rows and null doc_ids are each returned; other columns are not read.
+    Nulls and texts without words count 0; a single long text is a slice of its own. Segmentations that tie have the fewest pieces. Repeated rows
+    and null doc_ids are each returned; other columns are not read. An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.of(pieces))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
         for b in batches:
-            for lo, texts in text_slices(b.column(1), TRIE_BYTES):
+            for lo, texts in text_slices(b.column(1)):
                 split = [t.split() if t else [] for t in texts]
                 counts = np.array([len(s) for s in split], np.int64)
                 flat = np.empty(int(counts.sum()), object)
                 flat[:] = [w for s in split for w in s]
                 code, distinct = pd.factorize(flat)
-                each = count_words(list(distinct), sent.value)[code] if len(flat) else np.zeros(0, np.int64)
+                if new := [w for w in distinct if w not in held]:
+                    if len(held) + len(new) > HELD:
+                        held, new = {}, list(distinct)
+                    held.update(zip(new, count_words(new, sent.value).tolist(), strict=True))
+                each = np.array([held[w] for w in distinct], np.int64)[code] if len(flat) else np.zeros(0, np.int64)
                 sums = np.bincount(np.repeat(np.arange(len(texts)), counts), weights=each, minlength=len(texts)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array(counts), pa.array(sums)], names=["doc_id", "n_pretokens", "n_tokens"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import re._constants as ops
 import re._parser as parser
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -39,6 +39,34 @@ class PatternRule:
     pattern: str
 
 
+def parse_filters(lines: Iterable[str]) -> list[PatternRule]:
+    """Pattern rules from lines in the usual syntax of filter lists, each named by its line.
+
+    `||` begins at a host or one of its labels, `|` at the URL's beginning or end; `*` is any run, `^` a character that is no letter, digit, `_`, `-`,
+    `.` or `%`, or the end; `/…/` is a regular expression. Lines that are empty or begin with `!` or `[` are comments. Exceptions, options
+    and element rules (`@@`, `$`, `##`) are not URL patterns and raise ValueError.
+    """
+    out = []
+    for line in map(str.strip, lines):
+        if not line or line[0] in "![":
+            continue
+        if line.startswith("@@") or "##" in line or "#@#" in line or re.search(r"\$[a-z~,=|-]+$", line):
+            raise ValueError(f"not a URL pattern: {line}")
+        if len(line) > 2 and line[0] == line[-1] == "/":
+            out.append(PatternRule(line, line[1:-1]))
+            continue
+        rest, head, tail = line.lower(), "", ""
+        if rest.startswith("||"):
+            rest, head = rest[2:], r"://(?:[^/?#]*\.)?"
+        elif rest.startswith("|"):
+            rest, head = rest[1:], "^"
+        if rest.endswith("|"):
+            rest, tail = rest[:-1], "$"
+        body = "".join({"*": ".*", "^": r"(?:[^0-9a-z_.%-]|$)"}.get(c) or re.escape(c) for c in rest.strip("*"))
+        out.append(PatternRule(line, head + body + tail))
+    return out
+
+
 def literal_tokens(pattern: str) -> list[str]:
     """Tokens ([0-9a-z]+, whole) that any text that the pattern matches must hold.
 
@@ -62,6 +90,10 @@ def literal_tokens(pattern: str) -> list[str]:
             return all(o is ops.LITERAL and not TOKEN.fullmatch(chr(a)) for o, a in arg)
         return op is ops.AT and arg in (ops.AT_BEGINNING_STRING, ops.AT_BEGINNING, ops.AT_END_STRING)
 
+    def ends_outside(items) -> bool:
+        op, arg = items[-1]
+        return ends_outside(arg[3]) if op is ops.SUBPATTERN else outside(items[-1])
+
     def walk(items) -> None:
         nonlocal run
         for item in items:
@@ -72,6 +104,8 @@ def literal_tokens(pattern: str) -> list[str]:
                 walk(arg[3])
             elif op is ops.MAX_REPEAT and arg[0] >= 1 and len(arg[2]) == 1 and outside(arg[2][0]):
                 end(True)
+            elif op is ops.MAX_REPEAT and not run and whole and ends_outside(arg[2]):
+                pass  # an optional part between a boundary and what follows that itself ends with one
             else:
                 end(outside(item))
 
@@ -144,7 +178,7 @@ def url_verdicts(pages: DataFrame, domains: list[DomainRule], patterns: list[Pat
     many), besides those without a literal token, which always run.
 
     A null URL, or one without ://, has an empty host and path; pattern rules see it all the same (null as empty). Repeated rows and null page_ids
-    are each returned; other columns are not read. Each row is judged where it is: nothing is shuffled.
+    are each returned; other columns are not read. An empty table gives an empty result. Each row is judged where it is: nothing is shuffled.
     """
     if len(domains) + len(patterns) > MOST_RULES:
         raise ValueError(f"there are more than {MOST_RULES} rules")

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches
+from .common import Scratch, bounded_batches, checked
 
 #: Magic number of the skippable frame that holds a dictionary.
 DICT_MAGIC = 0x184D2A5D
@@ -23,6 +23,8 @@ DICT_MAGIC = 0x184D2A5D
 SAMPLE_BYTES, DICT_BYTES = 4_000_000, 65_536
 #: An archive that has reached this size is closed and the next one begun.
 ARCHIVE_BYTES = 1_000_000_000
+#: About so many bytes of an archive are read by one task.
+SEGMENT_BYTES = 32_000_000
 LEVEL = 6
 
 
@@ -106,15 +108,20 @@ class Writer:
         self.out.close()
 
 
-def read_archive(source) -> Iterator[Record]:
-    """The records of an archive, one in memory at a time. source has read(n)."""
+def read_archive(source, begin: int = 0, end: int | None = None) -> Iterator[Record]:
+    """The records of an archive, one in memory at a time; those whose frames begin at begin or later and before end, where given, which
+    must be where frames begin. source has read(n), and seek(n) if begin is given."""
     magic, size = struct.unpack("<II", source.read(8))
     if magic != DICT_MAGIC:
         raise ValueError("the archive doesn't begin with a dictionary")
     raw = zstandard.ZstdDecompressor().decompress(source.read(size), max_output_size=1 << 30)
     unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+    at = 8 + size
+    if begin > at:
+        source.seek(begin)
+        at = begin
     rest = b""
-    while True:
+    while end is None or at < end:
         frame, whole, begun = unpack.decompressobj(), [], False
         while not frame.eof:
             data = rest or source.read(1 << 20)
@@ -125,7 +132,9 @@ def read_archive(source) -> Iterator[Record]:
                 return
             begun = True
             whole.append(frame.decompress(data))
+            at += len(data)
         rest = frame.unused_data
+        at -= len(rest)
         yield Record.decode(b"".join(whole))
 
 
@@ -136,18 +145,20 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
-MANIFEST = "path string, records long, bytes long"
+MANIFEST = "path string, begin long, end long, records long"
 
 
-def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes a record for each row of pages (page_id, url, html) and returns the manifest: path, records, bytes of each archive.
+def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """Writes a record for each row of pages (page_id, url, html) and returns the manifest: path, begin, end, records of each segment of an
+    archive, a run of records that can be read by itself.
 
     Of records with equal payloads of min_bytes or more, the one with the smallest page_id is a response and the others are revisits that
-    refer to it; smaller ones are all responses. Payloads are equal when their SHA-1 is. The least page_id of each digest is a
-    map-side combined aggregate; pages are shuffled once, on the digest, and adaptive execution may split that join.
+    refer to it; smaller ones are all responses. Payloads are equal when their SHA-1 is. The least page_id of each digest that is there
+    twice is a map-side combined aggregate; pages stay where they are unless such digests are too many to broadcast, and then
+    adaptive execution may split the join.
 
     Each task writes archives of its own under a temporary name and renames them when they are whole, so a task that is run again, or
-    twice at a time, leaves no half archive and only what the manifest names counts.
+    twice at a time, leaves no half archive and only what the manifest names counts; clean() deletes the rest.
 
     A null html is an empty payload, a null url has no WARC-Target-URI, a null page_id an empty name; characters that can't be printed are left
     out of the URI. Rows that repeat a response's page_id and payload are responses as well. Other columns are not read; an empty table
@@ -155,25 +166,28 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes:
     """
     bounded_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    pages = pages.withColumn("sha", F.sha1("payload"))
-    first = pages.groupBy("sha").agg(F.min("page_id").alias("first")).withColumnRenamed("sha", "sha_")
-    rows = pages.join(first, pages.sha == first.sha_).select("page_id", "url", "payload", "first")
+    scratch = Scratch(pages.sparkSession)
+    twice = pages.groupBy(F.unhex(F.sha1("payload")).alias("sha")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first", F.lit(True).alias("many"))
+    twice = scratch.write(twice, "twice")
+    rows = pages.withColumn("sha", F.unhex(F.sha1("payload"))).join(checked(twice, twice.count(), 80), "sha", "left")
+    rows = rows.select("page_id", "url", "payload", F.when(F.col("many"), F.col("first")).otherwise(F.col("page_id")).alias("first"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)
         fs.create_dir(base, recursive=True)
-        done, out, n = [], None, 0
+        done, own, out, n = [], [], None, 0
 
         def end():
             out.close()
             path = f"{base}/{name}.warc.zst"
             fs.move(f"{base}/.{name}", path)
-            done.append((path, n, out.size))
+            stops = [*own, (out.size, n)]
+            done.extend((path, lo, hi, k) for (lo, _), (hi, k) in zip([(0, 0), *stops], stops, strict=False) if k)
 
         for b in batches:
             for page_id, url, payload, least in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
-                    name, n = f"part-{uuid.uuid4().hex}", 0
+                    name, n, own = f"part-{uuid.uuid4().hex}", 0, []
                     out = Writer(fs.open_output_stream(f"{base}/.{name}", compression=None))
                 revisit = len(payload) >= min_bytes and page_id != least
                 out.add(page_record(page_id, url, payload, digest(payload), least, revisit))
@@ -181,53 +195,70 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes:
                 if out.size >= archive_bytes:
                     end()
                     out = None
+                elif out.size - (own[-1][0] if own else 0) >= segment_bytes:
+                    own.append((out.size, n))
+                    n = 0
         if out is not None:
             end()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], names=["path", "records", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], pa.int64() if k else pa.string()) for k in range(4)], names=["path", "begin", "end", "records"])
 
     return rows.mapInArrow(put, MANIFEST)
 
 
+def clean(manifest: DataFrame, folder: str) -> None:
+    """Deletes what failed attempts have left in folder: files that manifest doesn't name. No writer may be at work there."""
+    fs, base = _open(folder)
+    named = {r[0] for r in manifest.select("path").distinct().collect()}
+    for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+        if f.path not in named:
+            fs.delete_file(f.path)
+
+
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
 
 def read_warc(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of the archives in manifest. A response's payload is checked against its length and digest; a revisit has none."""
+    """The records of the archives in manifest, a segment at a time. A response's payload is checked against its length and digest; a revisit
+    has none. The number of a segment's records is checked against the manifest."""
 
     def number(field: str | None) -> int | None:
         found = (field or "").removeprefix("<urn:page:").removesuffix(">")
         return int(found) if found else None
 
+    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
+
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _open(folder)
-
-        def batch(rows):
-            return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())]))
-
         for b in batches:
-            for path in b.column(0).to_pylist():
-                rows, held = [], 0
-                with fs.open_input_stream(path, compression=None) as source:
-                    for r in read_archive(source):
+            for path, begin, end, records in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows, held, n = [], 0, 0
+                with fs.open_input_file(path) as source:
+                    for r in read_archive(source, begin, end):
                         f = r.fields
                         sha, size, kind = f["WARC-Payload-Digest"].removeprefix("sha1:"), int(f["X-Payload-Length"]), f["WARC-Type"]
                         if kind == "response" and (digest(r.block), len(r.block)) != (sha, size):
                             raise ValueError(f"{path}: a payload differs from its digest")
                         rows.append({"page_id": number(f["WARC-Record-ID"]), "payload_bytes": size, "payload_digest": sha, "record_type": kind, "refers_to": number(f.get("WARC-Refers-To")), "url": f.get("WARC-Target-URI"), "payload": r.block if payloads and kind == "response" else None})
+                        n += 1
                         held += len(r.block) if payloads else 100
                         if held > 4_000_000:
-                            yield batch(rows)
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows, held = [], 0
+                if n != records:
+                    raise ValueError(f"{path}: {n} records instead of {records}")
                 if rows:
-                    yield batch(rows)
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    paths = manifest.select("path")
-    return paths.repartition(paths.sparkSession.sparkContext.defaultParallelism, "path").mapInArrow(get, RECORDS)
+    segments = manifest.select("path", "begin", "end", "records")
+    return segments.repartition(segments.sparkSession.sparkContext.defaultParallelism).mapInArrow(get, RECORDS)
 
 
-def archive(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(manifest, records): pages written to archives in the shared folder, and what is read back from them."""
+def archive(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """What is read back of pages written to archives in the shared folder, without the payloads; the archives are then deleted."""
     scratch = Scratch(spark)
     folder = f"{scratch.root}/warc"
     manifest = scratch.write(write_warc(pages, folder, min_bytes), "manifest")
-    return manifest, read_warc(manifest, folder, payloads=False)
+    clean(manifest, folder)
+    records = scratch.write(read_warc(manifest, folder, payloads=False).drop("payload"), "records")
+    scratch.drop("warc", "manifest")
+    return records
