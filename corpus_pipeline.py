@@ -1,14 +1,17 @@
-"""A training corpus from documents, stage by stage; each stage is written and read again."""
+"""A training corpus from documents, stage by stage; each stage is written and read again.
+
+Stages judge rows by their texts: rows that share a doc_id, or have none, are told apart.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vtable.llm.common import Scratch, checked, read
+from vtable.llm.common import Scratch, free_name, read
 from vtable.llm.decontaminate import decontaminate
-from vtable.llm.exact import exact_dedup
-from vtable.llm.jaccard import jaccard_components
+from vtable.llm.exact import deduplicated
+from vtable.llm.jaccard import near_deduplicated
 from vtable.llm.langid import UNKNOWN, identify, learn
 from vtable.llm.mixing import mix_sources
 from vtable.llm.queries import OTHERS, WEIGHTS
@@ -19,33 +22,25 @@ LEAST_SCORE = 0.5
 LEAST_FIT = 0.5
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the doc_ids of gone, which are few beside docs: they are broadcast if their count allows it. A null doc_id stays."""
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(checked(gone, gone.count()), docs.doc_id == F.col("__gone"), "left_anti")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the labelled ones have: those without letters, or too unlike any of them, go."""
-    model = learn(docs)
-    scratch = Scratch(spark)
-    found = scratch.write(identify(docs, model), "language")
-    return _without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE) | (F.col("fit") < LEAST_FIT)))
+    """Keeps documents in a language that the labelled ones have: those without letters, or too unlike any of them, go. Each row is judged by its text."""
+    pred, score, fit = (free_name(docs, n) for n in ("lang_pred", "score", "fit"))
+    found = identify(docs, learn(docs), keep=docs.columns)
+    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= LEAST_SCORE) & (F.col(fit) >= LEAST_FIT)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays; rows that repeat its doc_id and text count as one and all stay."""
-    return _without(docs, exact_dedup(docs).where(~F.col("kept")))
+    """Of equal texts one row stays, with the largest doc_id; null counts as empty."""
+    return deduplicated(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one with the smallest doc_id stays."""
-    found, _ = jaccard_components(docs, words=5, num=80, den=100)
-    return _without(docs, found.where("doc_id <> component_id"))
+    return near_deduplicated(docs, words=5, num=80, den=100)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of benchmark go."""
+    """Documents whose text holds a passage of benchmark go."""
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -62,6 +57,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over documents."""
     scratch, docs = Scratch(spark), read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
     return docs
