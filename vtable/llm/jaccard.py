@@ -17,6 +17,10 @@ from .common import Scratch, binary_list, bounded_batches, checked, components,
 BLOCK, BLOCK_TOKENS = 4096, 2_000_000
 #: Sets whose token union is a column of the matrix.
 GROUP = 16
+#: Bits of a signature: fewer would make sets meet by chance, more would only be shuffled.
+SIGNATURE_BITS = 48
+#: 64-bit words of a set's parity sketch.
+SKETCH = 32
 #: Documents in the sample that finds signatures shared by very many documents, and how often they are there. It steers only the route
 #: that a signature's rows take, never the result.
 SAMPLE, OFTEN = 20_000, 20
@@ -94,12 +98,21 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, t: Threshold) -> tuple[np.nd
         sets.append(np.full(p, i))
     if not sums:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    sums, sets = np.concatenate(sums), np.concatenate(sets)
+    sums, sets = np.concatenate(sums) >> np.uint64(64 - SIGNATURE_BITS), np.concatenate(sets)
     order = np.argsort(sets, kind="stable")
     return sums[order], sets[order]
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("place", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+def sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of bits for each set: whether an odd number of its tokens fall on the bit. Two sketches differ in no more bits than the sets
+    in tokens, so a pair that is too far apart by its sketches is so by its sets."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = mix(flat ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - (SKETCH * 64 - 1).bit_length())
+    odd = np.bincount(owner * (SKETCH * 64) + place.astype(np.int64), minlength=len(sizes) * SKETCH * 64) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sizes), SKETCH * 64), axis=1)
+
+
+SETS = "doc_id long, n long, k1 long, k2 long, place long, sketch binary, sigs array<long>"
 
 
 def set_keys(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -113,9 +126,9 @@ def set_keys(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
 
 
 def set_rows(words: int, num: int, den: int):
-    """For mapInArrow: doc_id, text and place to the set's size, its two hashes and its signatures.
+    """For mapInArrow: doc_id, text and place to the set's size, its two hashes, its sketch and its signatures.
 
-    Of equal sets that are near each other only the first that has a doc_id has signatures; they would be the same.
+    Of equal sets that are near each other only the first that has a doc_id has a sketch and signatures; they would be the same.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +142,50 @@ def set_rows(words: int, num: int, den: int):
                 twin = np.ones(len(sizes), bool)
                 twin[named[first]] = False
                 kept = np.where(twin, 0, sizes)
-                sums, sets = signatures(flat[np.repeat(~twin, sizes)], kept, t)
+                own = flat[np.repeat(~twin, sizes)]
+                sums, sets = signatures(own, kept, t)
+                drawn = sketches(own, kept[kept > 0])
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(sets, minlength=len(sizes))))).astype(np.int32)
-                none = pa.array(sizes == 0)
-                keys = [pa.array(k, mask=none.to_numpy(zero_copy_only=False)) for k in keys]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)).cast(pa.int64()), pa.array(sizes), *keys, b.column(2).slice(lo, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.view(np.int64)))], schema=SETS)
+                ends = np.concatenate(([0], np.cumsum(np.where(kept > 0, SKETCH * 8, 0)))).astype(np.int32)
+                sketch = pa.Array.from_buffers(pa.binary(), len(sizes), [pa.array(kept > 0).buffers()[1], pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(drawn))])
+                keys = [pa.array(k, mask=sizes == 0) for k in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, len(texts)).cast(pa.int64()), pa.array(sizes), *keys, b.column(2).slice(lo, len(texts)), sketch, pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.view(np.int64)))],
+                    names=["doc_id", "n", "k1", "k2", "place", "sketch", "sigs"],
+                )
+
+    return rows
+
+
+CANDIDATES = "pivot long, block int, part int, query boolean, node long"
+
+
+def candidate_rows(num: int, den: int):
+    """For mapInArrow over rows sorted by group: pivot, block, part, query, node, n, sketch. Gives the rows without n and sketch, but for
+    those that have no partner in their group that could be similar by sizes and sketches."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["pivot", "block", "part"]):
+            if table.num_rows < 2:
+                continue
+            cross = table.column("block")[0].as_py() != table.column("part")[0].as_py()
+            table = table.sort_by("n")
+            n, query = table.column("n").to_numpy(), np.array(table.column("query").to_pylist(), bool)
+            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
+            stays, ends = np.zeros(len(n), bool), np.searchsorted(n, n * den // num, "right")
+            for i in range(len(n) - 1):
+                js = np.arange(i + 1, ends[i])
+                if cross:
+                    js = js[query[js] != query[i]]
+                if len(js):
+                    both = n[js] + n[i]
+                    far = both - 2 * -(-num * both // (num + den))
+                    near = np.bitwise_count(bits[js] ^ bits[i]).sum(1) <= far
+                    if near.any():
+                        stays[i] = True
+                        stays[js[near]] = True
+            if stays.any():
+                yield from table.select(["pivot", "block", "part", "query", "node"]).filter(pa.array(stays)).combine_chunks().to_batches()
 
     return rows
 
@@ -256,7 +308,7 @@ def link_batch(node: np.ndarray, links: list[tuple[np.ndarray, np.ndarray, np.nd
 
 
 def head_rows(signature: np.ndarray, pivot: np.ndarray):
-    """For mapInArrow: k1 and sigs to k1 and the pivots of those of its signatures that are in signature (sorted), each once a batch."""
+    """For mapInArrow: row and sigs to row and the pivots of those of its signatures that are in signature (sorted), each once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,34 +317,33 @@ def head_rows(signature: np.ndarray, pivot: np.ndarray):
             at = np.minimum(np.searchsorted(signature, flat), len(signature) - 1)
             hit = signature[at] == flat
             pairs = np.unique(np.stack([b.column(0).to_numpy(zero_copy_only=False)[owner[hit]], pivot[at[hit]]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["k1", "pivot"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["row", "pivot"])
 
     return rows
 
 
 def shared_signatures(scratch: Scratch, sets: DataFrame, rows: int) -> DataFrame:
-    """k1, pivot: the sets that share a signature with others, and one of those that stands for them; pivots themselves are among k1.
+    """row, pivot: the sets that share a signature with others, and one of those that stands for them; pivots themselves are among the rows.
 
-    Signatures that a bounded sample of the sets shows to be shared by very many sets have their least set in the sample as the pivot. They
+    Signatures that a bounded sample of the sets shows to be shared by very many sets have their least row in the sample as the pivot. They
     are counted; within the limit of broadcasts each set looks its pivots up where it is, so a set's many frequent signatures become a few
-    rows before anything is shuffled. The rest meet by a shuffle on the signature, and the least set is the pivot.
+    rows before anything is shuffled. The rest meet by a shuffle on the signature, and the least row is the pivot.
     """
-    sets = sets.where("k1 is not null")
-    every = sets.select("k1", F.explode("sigs").alias("sig"))
+    every = sets.select("row", F.explode("sigs").alias("sig"))
     share = min(1.0, SAMPLE / max(rows, 1))
-    sample = every.where((F.col("k1") % 1_000_000_007).between(-int(share * 1_000_000_007), int(share * 1_000_000_007)))
-    heads = scratch.write(sample.groupBy("sig").agg(F.min("k1").alias("pivot"), F.count("*").alias("n")).where(f"n >= {OFTEN}").select("sig", "pivot"), "heads")
+    sample = every.where(F.pmod(F.xxhash64("row"), F.lit(1_000_003)) <= int(share * 1_000_003))
+    heads = scratch.write(sample.groupBy("sig").agg(F.min("row").alias("pivot"), F.count("*").alias("n")).where(f"n >= {OFTEN}").select("sig", "pivot"), "heads")
     few = heads.count()
     if not few:
-        hot = sets.select("k1", F.col("k1").alias("pivot")).limit(0)
+        hot = sets.select("row", F.col("row").alias("pivot")).limit(0)
     elif few <= common.BROADCAST_ROWS:
         table = heads.toArrow().sort_by("sig")
-        hot = sets.select("k1", "sigs").mapInArrow(head_rows(table["sig"].to_numpy(), table["pivot"].to_numpy()), "k1 long, pivot long")
+        hot = sets.select("row", "sigs").mapInArrow(head_rows(table["sig"].to_numpy(), table["pivot"].to_numpy()), "row long, pivot long")
     else:
-        hot = every.join(heads, "sig").select("k1", "pivot")
+        hot = every.join(heads, "sig").select("row", "pivot")
     by_sig = Window.partitionBy("sig")
-    rest = every.join(checked(heads.select("sig"), few), "sig", "left_anti").select("k1", F.min("k1").over(by_sig).alias("pivot"), F.max("k1").over(by_sig).alias("last"))
-    return hot.unionByName(rest.where("pivot < last").select("k1", "pivot")).distinct()
+    rest = every.join(checked(heads.select("sig"), few), "sig", "left_anti").select("row", F.min("row").over(by_sig).alias("pivot"), F.max("row").over(by_sig).alias("last"))
+    return hot.unionByName(rest.where("pivot < last").select("row", "pivot")).distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id", pairs: bool = False) -> tuple[DataFrame, DataFrame | None]:
@@ -305,7 +356,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     only made rows when asked for.
 
     Token-group matrix: equal sets count once. Sets that share a signature (see Threshold) meet around one of them, so any two similar
-    sets meet. Those that meet are partitioned into groups of similar sets with a token union each; a query opens only the groups whose
+    sets meet. Of those that meet, sets that their sketches show to be far from all others leave before any text is moved (see sketches). The
+    rest are partitioned into groups of similar sets with a token union each; a query opens only the groups whose
     union holds enough of its tokens (see link_block). Where over BLOCK sets, or BLOCK_TOKENS tokens, meet, they are dealt out in
     blocks, and each block's sets are queries to the later blocks. Two sets that meet around several sets are compared at the least of them.
     Components need only the links that join two components of a block; those are told apart where they are found.
@@ -324,23 +376,27 @@ def _joined(docs: DataFrame, words: int, num: int, den: int, text: str, doc_id:
     scratch = Scratch(docs.sparkSession)
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("place"))
-    sets = scratch.write(docs.mapInArrow(set_rows(words, num, den), "doc_id long, n long, k1 long, k2 long, place long, sigs array<long>"), "sets")
-    keyed = sets.where("k1 is not null and doc_id is not null")
+    made = scratch.write(docs.mapInArrow(set_rows(words, num, den), SETS).withColumn("row", F.monotonically_increasing_id()), "made")
+    sets = scratch.write(made.drop("sigs", "sketch"), "sets")
+    near = scratch.write(shared_signatures(scratch, made.where("sketch is not null").select("row", "sigs"), sets.count()), "near")
+    keyed = made.where("k1 is not null and doc_id is not null")
     # the text of a set is fetched by the doc_id and the hash of one row that has it
-    kinds = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place")).alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    kinds = scratch.write(kinds.select("k1", "k2", "rep.doc_id", "rep.place", "n", "copies").withColumn("node", F.monotonically_increasing_id()), "kinds")
-    near = scratch.write(shared_signatures(scratch, sets.where("doc_id is not null"), sets.count()), "near")
-    # two different sets may have the same k1: each has its own row here
-    members = scratch.write(near.join(kinds, "k1").drop("doc_id", "place"), "members")
+    kinds = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place")).alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"), F.max("sketch").alias("sketch"))
+    kinds = scratch.write(kinds.select("k1", "k2", "rep.doc_id", "rep.place", "n", "copies", "sketch").withColumn("node", F.monotonically_increasing_id()), "kinds")
+    scratch.drop("made")
+    # rows with equal sets are one member
+    members = near.join(sets.select("row", "k1", "k2"), "row").select("pivot", "k1", "k2").distinct().join(kinds.select("k1", "k2", "node", "n", "sketch"), ["k1", "k2"])
+    members = scratch.write(members.drop("k1", "k2"), "members")
     large = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")).where("blocks > 1")
     large = scratch.write(large, "large")
-    pivots = members.groupBy("node").agg(F.collect_set("pivot").alias("pivots"))
-    placed = members.join(checked(large, large.count()), "pivot", "left").join(pivots, "node").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = members.join(checked(large, large.count()), "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.selectExpr("pivot", "greatest(own, other) block", "least(own, other) part", "own < other query", "filter(pivots, p -> p < pivot) earlier", "node")
-    placed = scratch.write(placed, "placed")
-    wanted = placed.join(kinds.select("node", "doc_id", "place", "copies", "k1", "k2"), "node")
+    placed = placed.selectExpr("pivot", "greatest(own, other) block", "least(own, other) part", "own < other query", "node", "n", "sketch")
     keys = ["pivot", "block", "part"]
+    placed = scratch.write(placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(candidate_rows(num, den), CANDIDATES), "placed")
+    pivots = placed.groupBy("node").agg(F.collect_set("pivot").alias("pivots"))
+    wanted = placed.join(pivots, "node").selectExpr(*keys, "query", "filter(pivots, p -> p < pivot) earlier", "node")
+    wanted = wanted.join(kinds.select("node", "doc_id", "place", "copies", "k1", "k2"), "node")
     texts = docs.join(checked(wanted, placed.count(), 150), ["doc_id", "place"]).drop("doc_id", "place")
     texts = texts.select(*keys, "query", "earlier", "node", "copies", "k1", "k2", "text")
     found = scratch.write(texts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link_rows(words, num, den, pairs), LINKS), "links")

@@ -58,7 +58,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], total: int | None =
     rate, copy, key = (free_name(docs, n) for n in ("rate", "copy", "shuffle_key"))
     found = rates(docs, weights, total, source)
     own = F.coalesce(F.col(source), F.lit(""))
-    identity = [F.lit(seed), F.col(doc_id), F.col(source), F.md5(F.coalesce(F.col(text), F.lit("")))]
+    identity = [F.lit(seed), F.col(doc_id), F.col(source), F.col("__m")]
     u = uniform(*identity)
     if found:
         mean = F.coalesce(F.create_map(*[x for s, r in found.items() for x in (F.lit(s), F.lit(r))])[own], F.lit(0.0))
@@ -73,8 +73,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], total: int | None =
         known = own.isin(*weights)
         mean = F.when(known, mean).otherwise(F.lit(float(default)))
         count = F.when(known, count).otherwise(F.lit(start) + F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("__u"))))
-    rows = docs.withColumn("__u", u).withColumn("__n", count).where("__n > 0").withColumn(rate, mean)
+    rows = docs.withColumn("__m", F.md5(F.coalesce(F.col(text), F.lit("")))).withColumn("__u", u).withColumn("__n", count).where("__n > 0").withColumn(rate, mean)
     rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    rows = rows.withColumn(key, uniform(*identity, F.col(copy))).drop("__u", "__n")
+    rows = rows.withColumn(key, uniform(*identity, F.col(copy))).drop("__m", "__u", "__n")
     dealt = rows.hint("rebalance", partitions, F.col(key)) if partitions else rows.hint("rebalance", F.col(key))
     return dealt.sortWithinPartitions(key)
