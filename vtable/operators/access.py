@@ -37,6 +37,12 @@ def multi(df: DataFrame, key: Sequence[str], keys: Sequence[Any] | DataFrame) ->
     return df.join(wanted.distinct(), list(key), "left_semi")
 
 
+def few_values(df: DataFrame, column: str, most: int = LITERAL_KEYS) -> list[Any] | None:
+    """The distinct values of a column, or None if there are more than most."""
+    found = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    return found if len(found) <= most else None
+
+
 def key_range(df: DataFrame, column: str, low: Any = None, high: Any = None, low_open: bool = False, high_open: bool = False) -> DataFrame:
     """Rows with column between low and high, where given; either end may be open."""
     kind = df.schema[column].dataType

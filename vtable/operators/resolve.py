@@ -58,18 +58,23 @@ def changes(log: DataFrame, after: int | None, until: int | None, version: str =
     return _as_of(rows, until, version)
 
 
-def diff(log: DataFrame, key: Sequence[str], old: int, new: int, version: str = VERSION, deleted: str = DELETED) -> DataFrame:
+def diff(log: DataFrame, key: Sequence[str], old: int, new: int, version: str = VERSION, deleted: str = DELETED, before: DataFrame | None = None) -> DataFrame:
     """What changed for a key between two snapshots: key, change (insert, update, delete), old and new value structs.
 
-    An update is a live key with a newer version. One pass: both snapshots are aggregates of the same scan, so nothing is joined.
+    An update is a live key with a newer version. One pass: both snapshots are aggregates of the same scan, so nothing is joined. Where log
+    no longer has the rows of the old snapshot, before has them.
     """
     rest = [c for c in log.columns if c not in (*key, deleted)]
     row = F.struct(*rest, deleted)
+    both = log.withColumn("_is_old", F.lit(before is None)).withColumn("_is_new", F.lit(True))
+    if before is not None:
+        both = both.unionByName(before.withColumn("_is_old", F.lit(True)).withColumn("_is_new", F.lit(False)))
 
-    def at(v: int) -> Column:
-        return F.max_by(F.when(F.col(version) <= v, row), F.when(F.col(version) <= v, F.col(version)))
+    def at(v: int, side: str) -> Column:
+        there = F.col(side) & (F.col(version) <= v)
+        return F.max_by(F.when(there, row), F.when(there, F.col(version)))
 
-    both = log.where(F.col(version) <= new).groupBy(*key).agg(at(old).alias("_o"), at(new).alias("_n"))
+    both = both.where(F.col(version) <= new).groupBy(*key).agg(at(old, "_is_old").alias("_o"), at(new, "_is_new").alias("_n"))
 
     def live(s: str) -> Column:
         return F.when(F.col(s).isNotNull() & ~F.coalesce(F.col(f"{s}.{deleted}"), F.lit(False)), F.col(s).dropFields(deleted))
@@ -86,11 +91,10 @@ def collect_garbage(log: DataFrame, key: Sequence[str], threshold: int, whole: b
     That one goes too if it is a tombstone and log is whole, that is, no row of its key is anywhere else.
     """
     old = F.col(version) <= threshold
-    top = F.max(F.when(old, F.col(version))).over(Window.partitionBy(*key))
-    stays = F.col(version) == F.col("_top")
+    kept = newest(log.where(old), key, version)
     if whole:
-        stays &= ~F.coalesce(F.col(deleted), F.lit(False))
-    return log.withColumn("_top", top).where(~old | stays).drop("_top")
+        kept = kept.where(~F.coalesce(F.col(deleted), F.lit(False)))
+    return kept.unionByName(log.where(~old))
 
 
 def conflicting_keys(buffer: DataFrame, log: DataFrame, key: Sequence[str], read_version: int, version: str = VERSION) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,11 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that a cluster shares (spark.checkpoint.dir), in a temporary one where that is unset."""
+    """A fresh path in the folder that a cluster shares (spark.checkpoint.dir). Where that is unset a local session gets a temporary one; a
+    cluster must set it, since its machines would not see each other's."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{(shared or tempfile.mkdtemp(prefix='vtable-')).rstrip('/')}/vtable-{uuid.uuid4().hex}"
 
 

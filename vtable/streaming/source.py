@@ -33,6 +33,16 @@ def _commits(path: str, after: int, until: int | None = None) -> list[dict]:
     return out
 
 
+def _schema(path: str) -> str:
+    """The newest schema: that of the newest commit that has one, else of the newest written state."""
+    if found := [c["schema"] for c in _commits(path, 0) if c["schema"]]:
+        return found[-1]
+    fs, base = _filesystem(path)
+    names = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(f"{base}/_log")) if f.base_name.endswith(".state"))
+    with fs.open_input_stream(names[-1]) as s:
+        return json.loads(s.read())["schema"]
+
+
 class FilePart(InputPartition):
     def __init__(self, path: str, version: int):
         super().__init__(None)
@@ -46,7 +56,7 @@ class _Reader:
         self.schema, self.path = schema, path
 
     def parts(self, after: int, until: int) -> list[FilePart]:
-        return [FilePart(f["path"], c["version"]) for c in _commits(self.path, after, until) if c["op"] not in ("compact", "index") for f in c["add"] if not f["index"]]
+        return [FilePart(f["path"], c["version"]) for c in _commits(self.path, after, until) if c["op"] not in ("compact", "index", "vacuum") for f in c["add"] if not f["index"]]
 
     def read(self, part: FilePart) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -102,7 +112,7 @@ class ChangeFeed(DataSource):
         return "vtable_changes"
 
     def schema(self) -> str:
-        text = [c["schema"] for c in _commits(self.options["path"], 0) if c["schema"]][-1]
+        text = _schema(self.options["path"])
         columns = [(c.name, c.type) for c in TableSchema.from_json(text).columns if c.type != "void"]
         return ", ".join(f"`{n}` {t}" for n, t in [*columns, ("_d", "boolean"), ("_v", "bigint")])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import threading
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -26,8 +27,12 @@ log = logging.getLogger("vtable.table")
 
 #: Commits whose versions are written into a read's plan as a literal map; more are joined.
 LITERAL_COMMITS = 500
+#: Commits whose versions are broadcast at most where they are joined.
+BROADCAST_COMMITS = 100_000
 #: Tries to commit under the next free number.
 TRIES = 50
+#: A pin that is older is taken for one of a process that has died.
+PIN_HOURS = 24
 
 
 class ConflictError(RuntimeError):
@@ -42,6 +47,39 @@ class Expired(ValueError):
     """A snapshot that compaction has given up."""
 
 
+def apart(files: Sequence[DataFile], as_of: int | None) -> tuple[list[DataFile], list[DataFile]]:
+    """Files whose rows are live as they are, and files that must be resolved.
+
+    The files of one folder of level 0 come from one write, which has a key once, and so do those that compaction calls single. Files are
+    taken in the order of their least keys; where such a folder's files overlap no others, they need no resolving. Files with nulls overlap
+    each other; files without bounds overlap all."""
+    known = sorted((f for f in files if f.low is not None), key=lambda f: f.low)
+    bare = [f for f in files if f.low is None and f.rows == f.nulls]
+    open_ = [f for f in files if f.low is None and f.rows != f.nulls]
+    groups: list[list[DataFile]] = []
+    top: Any = None
+    for f in known:
+        if groups and f.low <= top:
+            groups[-1].append(f)
+            top = max(top, f.high)
+        else:
+            groups.append([f])
+            top = f.high
+    if open_:
+        groups = [[*known, *bare, *open_]]
+    elif len({f.folder for f in files if f.nulls}) > 1:
+        with_nulls = [g for g in groups if any(f.nulls for f in g)]
+        groups = [g for g in groups if g not in with_nulls] + [[*(f for g in with_nulls for f in g), *bare]]
+    elif bare:
+        groups.append(bare)
+    plain: list[DataFile] = []
+    mixed: list[DataFile] = []
+    for g in groups:
+        once = len({f.folder for f in g}) == 1 and all((not f.level or f.single) and (as_of is None or f.high_v <= as_of) for f in g)
+        (plain if once else mixed).extend(g)
+    return plain, mixed
+
+
 class Metrics:
     """Counters of what this process has done."""
 
@@ -68,7 +106,6 @@ class Table:
         self.store = Store(spark, self.path)
         self.log = Log(self.store)
         self.metrics = Metrics()
-        self._open_reads: dict[str, int] = {}
         if not self.log.head().version:
             raise CorruptTable(f"{path} holds no table")
 
@@ -79,6 +116,8 @@ class Table:
         """A new table; schema as a declaration or a TableSchema."""
         schema = parse_ddl(name, schema) if isinstance(schema, str) else schema
         options = options or Options()
+        if Log(Store(spark, path)).versions():
+            raise SchemaError(f"{path} already holds a table")
         try:
             Log(Store(spark, path)).append(Commit(1, "create", schema=schema.to_json()), options.sync == "FULL")
         except SlotTaken:
@@ -115,10 +154,9 @@ class Table:
         head = self.log.head()
         if as_of is None or as_of >= head.horizon:
             return head
-        old = self.log.at(as_of)
-        if any(not self.store.fs.exists(self.store.path(p)) for p in old.files):
-            raise Expired(f"version {as_of} is older than {head.horizon}, the oldest that is kept")
-        return old
+        if as_of < head.floor:
+            raise Expired(f"version {as_of} is older than {head.floor}, the oldest that is kept")
+        return self.log.at(as_of)
 
     def _scan(self, files: Sequence[DataFile], struct: T.StructType, versions: dict[str, int]) -> DataFrame:
         """Change rows of files: struct, _d and _v. One scan for all files; columns that a file lacks are null."""
@@ -129,51 +167,66 @@ class Table:
         fresh = {f.folder: versions[f.folder] for f in files if not f.level}
         if not fresh:
             return rows
+        if len(fresh) == 1 and not any(f.level for f in files):
+            return rows.withColumn(VERSION, F.lit(next(iter(fresh.values()))).cast("long"))
         folder = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1)
         if len(fresh) <= LITERAL_COMMITS:
             by_folder = F.create_map(*[x for k, v in fresh.items() for x in (F.lit(k), F.lit(v).cast("long"))])
             return rows.withColumn(VERSION, F.coalesce(F.col(VERSION), F.try_element_at(by_folder, folder)))
         known = self.spark.createDataFrame(list(fresh.items()), "_folder string, _n long")
-        return rows.withColumn("_folder", folder).join(F.broadcast(known), "_folder", "left").withColumn(VERSION, F.coalesce(VERSION, "_n")).drop("_folder", "_n")
+        known = F.broadcast(known) if len(fresh) <= BROADCAST_COMMITS else known
+        return rows.withColumn("_folder", folder).join(known, "_folder", "left").withColumn(VERSION, F.coalesce(VERSION, "_n")).drop("_folder", "_n")
 
     def _folders(self, state: State) -> dict[str, int]:
         """Folder to version of the files of level 0, from their own entries."""
         return {f.folder: f.low_v for f in state.files.values() if not f.level}
 
-    def _rows(self, state: State, low: Any = None, high: Any = None) -> tuple[DataFrame, bool]:
-        """Change rows whose key may lie in the bounds, and whether each key has one live row among them."""
-        schema = self.schema
-        files = [f for f in state.files.values() if not f.index and f.may_hold(low, high)]
-        single = bool(files) and all(f.single for f in files)
-        return self._scan(files, schema.stored, self._folders(state)), single
+    def _files_of(self, state: State, low: Any = None, high: Any = None, after: int | None = None, until: int | None = None, index: int = 0) -> list[DataFile]:
+        """Files that may hold keys within the bounds and versions after < v <= until."""
+        return [f for f in state.files.values() if f.index == index and f.may_hold(low, high) and (after is None or f.high_v > after) and (until is None or f.low_v <= until)]
+
+    def _rows(self, state: State, low: Any = None, high: Any = None, after: int | None = None, until: int | None = None) -> DataFrame:
+        """Change rows of the files that may hold keys and versions within the bounds."""
+        return self._scan(self._files_of(state, low, high, after, until), self.schema.stored, self._folders(state))
+
+    def _resolved(self, files: list[DataFile], state: State, struct: T.StructType, key: Sequence[str], as_of: int | None) -> DataFrame:
+        """Live rows of files: those of files that alone hold their range of keys, each key once, are a plain scan; the others are resolved.
+        So filters on any column reach Parquet where there is nothing to resolve, and only overlapping commits are shuffled."""
+        plain, mixed = apart(files, as_of)
+        folders = self._folders(state)
+        out = None
+        if plain or not mixed:
+            out = self._scan(plain, struct, folders).where(~F.coalesce(F.col(DELETED), F.lit(False)))
+        if mixed:
+            late = resolve.latest(self._scan(mixed, struct, folders), key, as_of=as_of)
+            out = late if out is None else out.unionByName(late)
+        return out
 
     def _whole(self, rows: DataFrame) -> DataFrame:
         """With the columns that are always null, in schema order."""
         return rows.select(*[F.col(c.name) if c.type != "void" else F.lit(None).alias(c.name) for c in self.schema.columns])
 
     def read(self, as_of: int | None = None, low: Any = None, high: Any = None) -> DataFrame:
-        """The live rows at a version, now if none is given. low and high bound the first key column and skip files outside.
-
-        Where compaction has left one row for each key the snapshot is a plain scan, so filters on any column reach Parquet.
-        """
+        """The live rows at a version, now if none is given. low and high bound the first key column and skip files outside; files of later
+        versions are skipped too."""
         self.metrics.add("reads")
         state = self._state(as_of)
-        rows, single = self._rows(state, low, high)
-        if not (single and (as_of is None or as_of >= max((f.high_v for f in state.files.values()), default=0))):
-            rows = resolve.latest(rows, self.schema.key, as_of=as_of)
-        return self._whole(rows)
+        return self._whole(self._resolved(self._files_of(state, low, high, until=as_of), state, self.schema.stored, self.schema.key, as_of))
 
     as_of = read
 
     def changes(self, after: int | None = None, until: int | None = None) -> DataFrame:
-        """Change rows, with _v and _d, of the versions after < _v <= until. Versions that compaction has merged are gone."""
-        rows, _ = self._rows(self.log.head())
+        """Change rows, with _v and _d, of the versions after < _v <= until; only files with such versions are read. Versions that compaction
+        has merged are gone."""
+        rows = self._rows(self.log.head(), after=after, until=until)
         return resolve.changes(rows, after, until).select(*[c.name for c in self.schema.columns if c.type != "void"], VERSION, F.coalesce(DELETED, F.lit(False)).alias(DELETED))
 
     def diff(self, old: int, new: int) -> DataFrame:
-        self._state(old)
-        rows, _ = self._rows(self.log.head())
-        return resolve.diff(rows, self.schema.key, old, new)
+        """What changed between two versions, see resolve.diff. Where a compaction lies behind old, its snapshot comes from the files of then."""
+        before, after = self._state(old), self._state(new)
+        if old >= after.horizon:
+            return resolve.diff(self._rows(after, until=new), self.schema.key, old, new)
+        return resolve.diff(self._rows(after, until=new), self.schema.key, old, new, before=self._rows(before, until=old))
 
     def get(self, *key: Any, as_of: int | None = None) -> dict | None:
         """The row with a primary key."""
@@ -187,8 +240,30 @@ class Table:
         kind = self.schema.struct[self.schema.key[0]].dataType
         return value if isinstance(kind, T.IntegralType) and isinstance(value, int) or isinstance(kind, T.StringType) and isinstance(value, str) else None
 
-    def multi_get(self, keys: Sequence[Any] | DataFrame) -> DataFrame:
-        return access.multi(self.read(), self.schema.key, keys)
+    def multi_get(self, keys: Sequence[Any] | DataFrame, as_of: int | None = None) -> DataFrame:
+        """Rows of many keys, a list or a DataFrame. Up to LITERAL_KEYS values of the first key column bound the files and are pushed to
+        Parquet; more are joined."""
+        first = self.schema.key[0]
+        if isinstance(keys, DataFrame):
+            values = access.few_values(keys, first)
+        else:
+            values = list({k[0] if isinstance(k, tuple) else k for k in keys}) if len(keys) <= access.LITERAL_KEYS else None
+        if values is None:
+            return access.multi(self.read(as_of), self.schema.key, keys)
+        values = [v for v in values if v is not None]
+        rows = self._among(values, as_of)
+        return rows if len(self.schema.key) == 1 else access.multi(rows, self.schema.key, keys)
+
+    def _among(self, values: Sequence[Any], as_of: int | None) -> DataFrame:
+        """Live rows whose first key column is one of values; files that can hold none of them are skipped."""
+        first, state = self.schema.key[0], self._state(as_of)
+        kind = self.schema.struct[first].dataType
+        bounds = sorted(self._bound(v) for v in values) if all(self._bound(v) is not None for v in values) else None
+        files = self._files_of(state, until=as_of)
+        if bounds is not None:
+            files = [f for f in files if f.low is None or (k := bisect_left(bounds, f.low)) < len(bounds) and bounds[k] <= f.high]
+        rows = self._whole(self._resolved(files, state, self.schema.stored, self.schema.key, as_of))
+        return rows.where(F.col(first).isin([F.lit(v).cast(kind) for v in values])) if values else rows.limit(0)
 
     def range(self, low: Any = None, high: Any = None, low_open: bool = False, high_open: bool = False, as_of: int | None = None) -> DataFrame:
         return access.key_range(self.read(as_of, self._bound(low), self._bound(high)), self.schema.key[0], low, high, low_open, high_open)
@@ -197,7 +272,9 @@ class Table:
         return access.seek(self.read(low=self._bound(start)), self.schema.key, start, limit)
 
     def prefix(self, start: str, limit: int | None = access.PREFIX_LIMIT) -> DataFrame:
-        return access.prefix(self.read(), self.schema.key[0], start, limit)
+        """Rows whose first key column begins with start; for text keys files outside are skipped."""
+        text = isinstance(self.schema.struct[self.schema.key[0]].dataType, T.StringType) and bool(start)
+        return access.prefix(self.read(low=start if text else None, high=start + chr(0x10FFFF) if text else None), self.schema.key[0], start, limit)
 
     def ordered(self) -> DataFrame:
         return self.read().orderBy(*self.schema.key)
@@ -211,27 +288,37 @@ class Table:
         struct = self.schema.struct
         return T.StructType([struct[c] for c in dict.fromkeys([*index.columns, *self.schema.key])])
 
-    def _index_rows(self, index: Index, state: State) -> DataFrame:
-        files = [f for f in state.files.values() if f.index == index.id]
-        return self._scan(files, self._entry_struct(index), self._folders(state))
+    def _index_bound(self, index: Index, value: Any) -> Any:
+        kind = self.schema.struct[index.columns[0]].dataType
+        return value if isinstance(kind, T.IntegralType) and isinstance(value, int) or isinstance(kind, T.StringType) and isinstance(value, str) else None
 
-    def index(self, name: str, as_of: int | None = None) -> DataFrame:
-        """Live entries of an index: its columns and the key."""
+    def index(self, name: str, as_of: int | None = None, low: Any = None, high: Any = None) -> DataFrame:
+        """Live entries of an index: its columns and the key. low and high bound its first column and skip files outside."""
         index, state = self.schema.index(name), self._state(as_of)
         entry = self._entry_struct(index)
-        return resolve.latest(self._index_rows(index, state), entry.names, as_of=as_of).select(*entry.names)
+        if as_of is not None and as_of < self.log.head().born.get(str(index.id), 0):
+            return access.index_entries(self.read(as_of), index.columns, self.schema.key)
+        low, high = self._index_bound(index, low), self._index_bound(index, high)
+        files = self._files_of(state, low, high, until=as_of, index=index.id)
+        return self._resolved(files, state, entry, entry.names, as_of).select(*entry.names)
+
+    def _fetch(self, entries: DataFrame, as_of: int | None) -> DataFrame:
+        """The rows that entries name: a few are looked up by their keys, which skips files; many are joined."""
+        values = access.few_values(entries, self.schema.key[0])
+        rows = self.read(as_of) if values is None else self._among(values, as_of)
+        return rows if values is not None and len(self.schema.key) == 1 else access.by_index(rows, self.schema.key, entries, F.lit(True))
 
     def lookup(self, name: str, *values: Any, as_of: int | None = None) -> DataFrame:
-        """Rows whose first indexed columns have the values."""
-        index, entries = self.schema.index(name), self.index(name, as_of)
-        found = access.key_equals(entries, index.columns[: len(values)], values)
-        return access.by_index(self.read(as_of), self.schema.key, entries, found)
+        """Rows whose first indexed columns have the values. A version before the index was made is looked through itself."""
+        index = self.schema.index(name)
+        entries = self.index(name, as_of, values[0], values[0])
+        return self._fetch(entries.where(access.key_equals(entries, index.columns[: len(values)], values)), as_of)
 
     def lookup_range(self, name: str, low: Any = None, high: Any = None, as_of: int | None = None) -> DataFrame:
         """Rows whose first indexed column lies between low and high, in its order."""
         first = self.schema.index(name).columns[0]
-        entries = access.key_range(self.index(name, as_of), first, low, high)
-        return access.by_index(self.read(as_of), self.schema.key, entries, F.lit(True)).orderBy(first, *self.schema.key)
+        entries = access.key_range(self.index(name, as_of, low, high), first, low, high)
+        return self._fetch(entries, as_of).orderBy(first, *self.schema.key)
 
     def where(self, **values: Any) -> DataFrame:
         """Rows with the columns' values, by the access path that fits: whole key, else the first index with the longest left prefix, else a scan."""
@@ -284,9 +371,9 @@ class Table:
         bounded = isinstance(kind, T.IntegralType | T.StringType)
         rows = self.spark.read.schema(T.StructType([struct[first], T.StructField(VERSION, T.LongType())])).parquet(f"{self.path}/{where}")
         name = F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("file")
-        stats = rows.groupBy(name).agg(F.count("*").alias("n"), F.min(first).alias("low"), F.max(first).alias("high"), F.min(VERSION).alias("low_v"), F.max(VERSION).alias("high_v")).collect()
+        stats = rows.groupBy(name).agg(F.count("*").alias("n"), F.min(first).alias("low"), F.max(first).alias("high"), F.min(VERSION).alias("low_v"), F.max(VERSION).alias("high_v"), F.count_if(F.col(first).isNull()).alias("nulls")).collect()
         return [
-            DataFile(f"{where}/{s.file}", s.n, sizes[f"{where}/{s.file}"], level, index, s.low if bounded else None, s.high if bounded else None, s.low_v or version, s.high_v or version, single)
+            DataFile(f"{where}/{s.file}", s.n, sizes[f"{where}/{s.file}"], level, index, s.low if bounded else None, s.high if bounded else None, s.low_v or version, s.high_v or version, single, s.nulls)
             for s in stats
         ]
 
@@ -322,7 +409,7 @@ class Table:
         one, else uniqueness is checked again and the next number tried. None if batch was committed before.
         """
         base = self.log.head().version if read_version is None else read_version
-        if batch and batch in self.log.head().batches:
+        if batch and self.log.head().has_batch(batch):
             return None
         if self.options.stall_limit and sum(not f.level for f in self.log.head().files.values()) >= self.options.stall_limit:
             self.compact()
@@ -335,12 +422,13 @@ class Table:
         self._save(shaped, f"data/{uid}", key)
         rows = self.spark.read.schema(shaped.schema).parquet(f"{self.path}/data/{uid}")
         try:
-            found = rows.agg(F.count("*"), F.sum(nulls.cast("int"))).first()
+            found = rows.groupBy(*key).agg(F.count("*").alias("_n")).agg(F.sum("_n"), F.count_if(nulls), F.max("_n")).first()
             if found[1]:
                 raise SchemaError(f"{schema.name}: null in the key")
-            if rows.groupBy(*key).count().where("count > 1").take(1):
+            if (found[2] or 0) > 1:
                 raise SchemaError(f"{schema.name}: a write has two rows for one key")
-            self._check_unique(rows, base)
+            if any(i.unique for i in schema.indexes):
+                self._check_unique(rows, base)
             old = self._old_rows(rows, base) if schema.indexes else None
             for index in schema.indexes:
                 self._save(self._index_changes(index, rows, old), f"idx/{index.id}/{uid}", list(index.columns))
@@ -351,7 +439,7 @@ class Table:
                 self.store.delete(f"idx/{index.id}/{uid}")
             raise
         self.metrics.add("commits")
-        self.metrics.add("rows_written", found[0])
+        self.metrics.add("rows_written", found[0] or 0)
         return version
 
     def _publish(self, rows: DataFrame, uid: str, base: int, op: str, batch: str | None) -> int | None:
@@ -362,7 +450,7 @@ class Table:
             added += self._files(f"idx/{index.id}/{uid}", index.columns[0], schema.struct, index=index.id)
         for _ in range(TRIES):
             head = self.log.head()
-            if batch and batch in head.batches:
+            if batch and head.has_batch(batch):
                 return None
             if head.version > seen:
                 self._check_conflict(rows, added, base)
@@ -498,25 +586,37 @@ class Table:
             self._save(rows.withColumn(DELETED, F.lit(False)), f"idx/{index.id}/{uid}", list(index.columns))
             files = self._files(f"idx/{index.id}/{uid}", index.columns[0], schema.struct, base + 1, index=index.id)
             try:
-                self.log.append(Commit(base + 1, "index", base, files, schema=schema.to_json()), self.options.sync == "FULL")
+                self.log.append(Commit(base + 1, "index", base, files, schema=schema.to_json(), index=index.id), self.options.sync == "FULL")
                 return index.name
             except SlotTaken:
                 self.store.delete(f"idx/{index.id}/{uid}")
         raise ConflictError(f"{self.path}: no free commit number in {TRIES} tries")
 
+    def pin(self, version: int) -> str:
+        """Keeps a version readable, for other processes' compactions and vacuums too, until unpin() or PIN_HOURS."""
+        token = f"{version:020d}-{uuid.uuid4().hex}"
+        self.store.put(f"_pins/{token}", "")
+        return token
+
+    def unpin(self, token: str) -> None:
+        self.store.delete(f"_pins/{token}")
+
+    def pins(self) -> list[int]:
+        return [int(n.partition("-")[0]) for n, ms in self.store.ages("_pins").items() if n[:1].isdigit() and ms < PIN_HOURS * 3_600_000]
+
     @contextmanager
     def pinned(self):
         """Keeps the snapshot of now readable while the block runs."""
-        token = uuid.uuid4().hex
-        self._open_reads[token] = self.version
+        version = self.version
+        token = self.pin(version)
         try:
-            yield self._open_reads[token]
+            yield version
         finally:
-            self._open_reads.pop(token, None)
+            self.unpin(token)
 
     def threshold(self) -> int:
         """The oldest version that a reader may still ask for."""
-        return min([self.version - self.options.retain, *self._open_reads.values()])
+        return min([self.version - self.options.retain, *self.pins()])
 
     def compact(self, everything: bool = False) -> int | None:
         """Rewrites the files that the picker chooses, or all, into the next level without rows that no kept snapshot needs.
@@ -539,7 +639,7 @@ class Table:
             where = f"idx/{number}/{uid}" if index else f"data/{uid}"
             parts = max(1, -(-sum(f.bytes for f in chosen) // (self.options.file_mb * MEGABYTE)))
             self._save(kept.repartitionByRange(parts, *order), where, [*order, VERSION], level)
-            single = not index and whole and limit >= max(f.high_v for f in chosen)
+            single = whole and limit >= max(f.high_v for f in chosen)
             added += self._files(where, order[0], schema.struct, level=level, index=number, single=single)
             removed += [f.path for f in chosen]
         if not removed:
@@ -556,16 +656,25 @@ class Table:
         return self.compact(everything=all(not f.level for f in rows)) if any(not f.level for f in rows) else None
 
     def vacuum(self) -> list[str]:
-        """Deletes data that no readable version needs: files that the newest state doesn't name. Writers must not be at work."""
-        live = {f.path.rsplit("/", 1)[0] for f in self.log.head().files.values()}
+        """Deletes data that no readable version needs: files that neither the newest state nor a pinned one names, abandoned transactions'
+        rows, and commits that only older versions need. Snapshots before the horizon, or the oldest pin, are given up by a commit first. Writers
+        must not be at work."""
+        pins = self.pins()
+        floor = min([self.log.head().horizon, *pins])
+        if floor > self.log.head().floor:
+            self.log.write_state(self._commit("vacuum", floor=floor), self.options.sync == "FULL")
+        states = [self.log.head(), *(self.log.at(v) for v in set(pins))]
+        live = {f.path.rsplit("/", 1)[0] for s in states for f in s.files.values()}
         there = {p.rsplit("/", 1)[0] for p in [*self.store.sizes("data"), *self.store.sizes("idx")]}
         gone = sorted(there - live)
-        for folder in gone:
+        kept = set(self.store.ages("_pins"))
+        for folder in [*gone, *(f"_txn/{n}" for n in self.store.names("_txn") if n not in kept)]:
             self.store.delete(folder)
+        self.log.prune(floor)
         return gone
 
     def backup(self, path: str) -> int:
-        """Copies the newest version's files and the commits up to it, those last and in order. A missing file fails the backup."""
+        """Copies the newest version's files and the log up to it, that last and in order. A missing file fails the backup."""
         other = Store(self.spark, path)
         if other.names(Log.FOLDER):
             raise SchemaError(f"{path} already holds a table")
@@ -573,8 +682,11 @@ class Table:
             state = self.log.at(version)
             with ThreadPoolExecutor(8) as pool:
                 list(pool.map(lambda f: self.store.copy(f, other), state.files))
-            for v in range(1, version + 1):
-                self.store.copy(Log.name(v), other)
+                names = [n for n in self.store.names(Log.FOLDER) if int(n.partition(".")[0]) <= version and n.endswith((".json", ".state"))]
+                list(pool.map(lambda n: self.store.copy(f"{Log.FOLDER}/{n}", other), [n for n in names if not n.startswith(f"{version:020d}")]))
+            for n in names:
+                if n.startswith(f"{version:020d}"):
+                    self.store.copy(f"{Log.FOLDER}/{n}", other)
         return version
 
     def check(self) -> DataFrame:
@@ -585,7 +697,7 @@ class Table:
         bad = [f for f in state.files.values() if sizes.get(f.path) != f.bytes]
         found = [("files", len(bad))]
         if not bad:
-            rows, _ = self._rows(state)
+            rows = self._rows(state)
             found.append(("row_counts", abs(rows.count() - sum(f.rows for f in state.files.values() if not f.index))))
             found.append(("key_versions", rows.groupBy(*key, VERSION).count().where("count > 1").count()))
             live = self.read()
@@ -606,8 +718,8 @@ class Table:
 
     def follow(self, each: Callable[[DataFrame, int], None], after: int = 0) -> int:
         """Calls each(changes, version) for every version after the given one; returns the last."""
-        for v in range(after + 1, self.version + 1):
-            if self.log.commit_at(v).op not in ("create", "schema", "compact", "index"):
-                each(self.changes(v - 1, v), v)
-            after = v
+        for c in self.log.since(after):
+            if c.op not in ("create", "schema", "compact", "index", "vacuum"):
+                each(self.changes(c.version - 1, c.version), c.version)
+            after = c.version
         return after

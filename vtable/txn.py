@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .operators import access, resolve
 from .operators.resolve import DELETED
@@ -15,15 +15,16 @@ from .table import ConflictError, Table
 
 
 class Transaction:
-    """Writes are an immutable list of change DataFrames; the last one wins for a key. A savepoint is a length of the list."""
+    """Each statement's change rows are written to the table's folder, under the transaction's own name, and the transaction is the list of
+    their folders; the last one wins for a key. A savepoint is a length of the list. So a plan is as large after many statements as after one."""
 
     def __init__(self, table: Table):
         self.table, self.read_version = table, table.version
-        self._ops: list[DataFrame] = []
+        self._ops: list[int] = []
+        self._made = 0
         self._saves: list[tuple[str, int]] = []
-        self._pin = uuid.uuid4().hex
+        self._pin = table.pin(self.read_version)
         self.open = True
-        table._open_reads[self._pin] = self.read_version
 
     def _need_open(self) -> None:
         if not self.open:
@@ -33,11 +34,12 @@ class Transaction:
         """One change row for each written key."""
         if not self._ops:
             return None
-        rows = None
-        for k, op in enumerate(self._ops):
-            one = op.withColumn("_s", F.lit(k))
-            rows = one if rows is None else rows.unionByName(one)
-        return resolve.newest(rows, self.table.schema.key, "_s").drop("_s")
+        struct = self.table.schema.stored
+        struct = T.StructType([*struct.fields, T.StructField(DELETED, T.BooleanType())])
+        base = f"{self.table.path}/_txn/{self._pin}"
+        rows = self.table.spark.read.schema(struct).parquet(*[f"{base}/{k}" for k in self._ops])
+        number = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1).cast("int")
+        return resolve.newest(rows.withColumn("_s", number), self.table.schema.key, "_s").drop("_s")
 
     def read(self) -> DataFrame:
         """The snapshot with this transaction's writes over it."""
@@ -60,7 +62,9 @@ class Transaction:
 
     def _add(self, changes: DataFrame) -> None:
         self._need_open()
-        self._ops.append(self.table._shape(changes))
+        self.table._shape(changes).write.parquet(f"{self.table.path}/_txn/{self._pin}/{self._made}")
+        self._ops.append(self._made)
+        self._made += 1
 
     def put(self, rows: DataFrame | Sequence) -> None:
         self._add(rows if isinstance(rows, DataFrame) else self.table.frame(rows))
@@ -98,8 +102,10 @@ class Transaction:
         del self._saves[k + 1 :]
 
     def rollback(self) -> None:
+        if self.open:
+            self.table.store.delete(f"_txn/{self._pin}")
+            self.table.unpin(self._pin)
         self.open, self._ops = False, []
-        self.table._open_reads.pop(self._pin, None)
 
     def commit(self) -> int:
         """The new version, or the read version if nothing was written."""
