@@ -47,6 +47,11 @@ class Expired(ValueError):
     """A snapshot that compaction has given up."""
 
 
+def bound_of(kind: T.DataType, value: Any) -> Any:
+    """value as a bound of files' columns of a type, or None where the log has none for it."""
+    return value if isinstance(kind, T.IntegralType) and isinstance(value, int) or isinstance(kind, T.StringType) and isinstance(value, str) else None
+
+
 def apart(files: Sequence[DataFile], as_of: int | None) -> tuple[list[DataFile], list[DataFile]]:
     """Files whose rows are live as they are, and files that must be resolved.
 
@@ -237,8 +242,7 @@ class Table:
 
     def _bound(self, value: Any) -> Any:
         """value as a bound for file pruning, or None where the log has none for its type."""
-        kind = self.schema.struct[self.schema.key[0]].dataType
-        return value if isinstance(kind, T.IntegralType) and isinstance(value, int) or isinstance(kind, T.StringType) and isinstance(value, str) else None
+        return bound_of(self.schema.struct[self.schema.key[0]].dataType, value)
 
     def multi_get(self, keys: Sequence[Any] | DataFrame, as_of: int | None = None) -> DataFrame:
         """Rows of many keys, a list or a DataFrame. Up to LITERAL_KEYS values of the first key column bound the files and are pushed to
@@ -256,14 +260,15 @@ class Table:
 
     def _among(self, values: Sequence[Any], as_of: int | None) -> DataFrame:
         """Live rows whose first key column is one of values; files that can hold none of them are skipped."""
-        first, state = self.schema.key[0], self._state(as_of)
-        kind = self.schema.struct[first].dataType
-        bounds = sorted(self._bound(v) for v in values) if all(self._bound(v) is not None for v in values) else None
+        schema, state = self.schema, self._state(as_of)
+        first = schema.key[0]
+        kind = schema.struct[first].dataType
+        bounds = sorted(values) if all(bound_of(kind, v) is not None for v in values) else None
         files = self._files_of(state, until=as_of)
         if bounds is not None:
             files = [f for f in files if f.low is None or (k := bisect_left(bounds, f.low)) < len(bounds) and bounds[k] <= f.high]
-        rows = self._whole(self._resolved(files, state, self.schema.stored, self.schema.key, as_of))
-        return rows.where(F.col(first).isin([F.lit(v).cast(kind) for v in values])) if values else rows.limit(0)
+        rows = self._whole(self._resolved(files, state, schema.stored, schema.key, as_of))
+        return rows.where(access.is_one_of(first, kind, values)) if values else rows.limit(0)
 
     def range(self, low: Any = None, high: Any = None, low_open: bool = False, high_open: bool = False, as_of: int | None = None) -> DataFrame:
         return access.key_range(self.read(as_of, self._bound(low), self._bound(high)), self.schema.key[0], low, high, low_open, high_open)
@@ -289,8 +294,7 @@ class Table:
         return T.StructType([struct[c] for c in dict.fromkeys([*index.columns, *self.schema.key])])
 
     def _index_bound(self, index: Index, value: Any) -> Any:
-        kind = self.schema.struct[index.columns[0]].dataType
-        return value if isinstance(kind, T.IntegralType) and isinstance(value, int) or isinstance(kind, T.StringType) and isinstance(value, str) else None
+        return bound_of(self.schema.struct[index.columns[0]].dataType, value)
 
     def index(self, name: str, as_of: int | None = None, low: Any = None, high: Any = None) -> DataFrame:
         """Live entries of an index: its columns and the key. low and high bound its first column and skip files outside."""
