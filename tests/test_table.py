@@ -7,10 +7,10 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from vtable.sources.log import CorruptTable
+from vtable.sources.log import Commit, CorruptTable, DataFile, SlotTaken
 from vtable.sources.options import Options, parse_string
 from vtable.sources.schema import SchemaError, TableSchema, parse_ddl
-from vtable.table import ConflictError, Expired, Table, UniqueViolation
+from vtable.table import ConflictError, Expired, Table, UniqueViolation, apart
 from vtable.txn import commit_all
 
 
@@ -347,3 +347,174 @@ def test_two_compactions(spark, path, monkeypatch):
     with pytest.raises(ConflictError):
         t.compact(everything=True)
     assert rows(t.read()) == [(1, 2)] and all(r.problems == 0 for r in t.check().collect())
+
+
+def folders(df):
+    """Folders below data/ that a DataFrame reads."""
+    return {f.split("/")[-2] for f in df.inputFiles()}
+
+
+def test_only_fitting_files_are_read(spark, path):
+    t = Table.create(spark, path, "id INT PRIMARY KEY, v TEXT, n INT, INDEX(n)")
+    at, made = {}, {}
+    for k in range(6):
+        before = set(t.log.head().files)
+        at[k] = t.insert([(100 * k + i, f"v{k}", i) for i in range(5)])
+        made[k] = {f.split("/")[-2] for f in set(t.log.head().files) - before if f.startswith("data/")}
+    assert folders(t.changes(at[2], at[3])) == made[3]
+    assert folders(t.read(at[0])) == made[0] and folders(t.read(low=300, high=301)) == made[3]
+    assert folders(t.multi_get([101, 402, 999])) == made[1] | made[4] and rows(t.multi_get([101, 402, 999])) == [(101, "v1", 1), (402, "v4", 2)]
+    assert folders(t.range(200, 205)) == made[2] and folders(t.where(id=500)) == made[5]
+    plan = t.read()._jdf.queryExecution().toString()
+    assert "max_by" not in plan, "commits that overlap no others need no resolving"
+    t.upsert([(205, "new", 77)])
+    assert folders(t.lookup("idx_data_n", 77)) <= made[2] | folders(t.read(low=205, high=205))
+    assert rows(t.lookup("idx_data_n", 77)) == [(205, "new", 77)] and rows(t.lookup("idx_data_n", 3)) == sorted(((100 * k + 3, f"v{k}", 3) for k in range(6)), key=str)
+    seen = []
+    t.follow(lambda df, v: seen.append((v, folders(df))), after=at[3])
+    assert [s for v, s in seen[:2]] == [made[4], made[5]]
+    words = Table.create(spark, path + "w", "w TEXT PRIMARY KEY, n INT")
+    for a in "abc":
+        words.insert([(a + str(i), i) for i in range(3)])
+    assert len(folders(words.prefix("b"))) == 1 and rows(words.prefix("b")) == [("b0", 0), ("b1", 1), ("b2", 2)]
+
+
+def test_index_entries_without_a_value(spark, path):
+    """Entries of a null in files that overlap in nothing else still replace each other."""
+    t = Table.create(spark, path, "id INT PRIMARY KEY, n INT, INDEX(n)")
+    t.insert([(1, None), (2, 5)])
+    t.insert([(3, None), (4, 50)])
+    t.upsert([(1, 70), (3, 500)])
+    t.upsert([(3, None)])
+    assert rows(t.index("idx_data_n")) == [(5, 2), (50, 4), (70, 1), (None, 3)]
+    assert all(x.problems == 0 for x in t.check().collect())
+
+
+def test_apart():
+    f = lambda folder, low, high, level=0, single=False, nulls=0, n=10, v=1: DataFile(f"data/{folder}/{low}", n, 1, level, 0, low, high, v, v, single, nulls)
+    names = lambda files: sorted((x.folder, x.low) for x in files)
+    plain, mixed = apart([f("a", 1, 5), f("a", 3, 9), f("b", 10, 12), f("c", 12, 20), f("d", 30, 40, 1, True), f("e", 50, 60, 1)], None)
+    assert names(plain) == [("a", 1), ("a", 3), ("d", 30)] and names(mixed) == [("b", 10), ("c", 12), ("e", 50)]
+    plain, mixed = apart([f("a", 1, 5), f("b", None, None)], None)
+    assert not plain and len(mixed) == 2
+    plain, mixed = apart([f("a", 1, 5, nulls=1), f("b", 7, 9, nulls=1), f("c", None, None, nulls=10), f("d", 20, 30)], None)
+    assert names(plain) == [("d", 20)] and len(mixed) == 3
+    assert apart([f("a", 1, 5, 1, True, v=7)], 5)[0] == []
+
+
+def test_diff_and_lookup_of_versions_before_compaction_and_index(spark, path):
+    t = Table.create(spark, path, "id INT PRIMARY KEY, n INT")
+    old = t.insert([(1, 10), (2, 20), (3, 30)])
+    t.update("id = 1", {"n": F.lit(11)})
+    new = t.delete("id = 2")
+    want = [(1, "update", 10, 11), (2, "delete", 20, None)]
+    flat = lambda df: rows(df.select("id", "change", "old.n", "new.n"))
+    assert flat(t.diff(old, new)) == want
+    t.compact(everything=True)
+    assert flat(t.diff(old, new)) == want and flat(t.diff(old, t.version)) == want
+    name = t.add_index(["n"])
+    assert rows(t.lookup(name, 10, as_of=old)) == [(1, 10)] and rows(t.lookup_range(name, 10, 25, as_of=old)) == [(1, 10), (2, 20)]
+    assert rows(t.lookup(name, 11)) == [(1, 11)]
+    t.vacuum()
+    with pytest.raises(Expired):
+        t.diff(old, new)
+
+
+def test_pins_are_seen_by_others(spark, path):
+    t, other = Table.create(spark, path, "id INT PRIMARY KEY, n INT"), Table(spark, path)
+    t.insert([(1, 10)])
+    with t.pinned() as version:
+        other.upsert([(1, 11)])
+        other.compact(everything=True)
+        other.vacuum()
+        assert rows(t.read(version)) == [(1, 10)] and other.pins() == [version]
+    x = t.begin()
+    x.put([(2, 2)])
+    other.upsert([(1, 12)])
+    other.compact(everything=True)
+    other.vacuum()
+    assert rows(x.read()) == [(1, 11), (2, 2)]
+    x.commit()
+    assert not other.pins() and not t.store.names("_txn")
+    other.compact(everything=True)
+    other.vacuum()
+    assert rows(Table(spark, path).read()) == [(1, 12), (2, 2)]
+
+
+def test_the_log_is_pruned(spark, path):
+    t = Table.create(spark, path, "id INT PRIMARY KEY, n INT")
+    for k in range(4):
+        t.insert([(k, k)], batch=f"s:{k}")
+        t.insert([(k, -k)], batch=f"other:{k}")
+    assert t.insert([(9, 9)], batch="s:2") is None and t.log.head().batches == {"s": 3, "other": 3}
+    for _ in range(2):
+        t.upsert([(1, 5)])
+        t.compact(everything=True)
+        t.vacuum()
+    left = t.log.versions()
+    assert left[0] > 1 and rows(Table(spark, path).read()) == [(0, 0), (1, 5), (2, -2), (3, -3)]
+    with pytest.raises(SchemaError):
+        Table.create(spark, path, "id INT PRIMARY KEY")
+    t.backup(path + "b")
+    assert rows(Table(spark, path + "b").read()) == rows(t.read()) and Table(spark, path).insert([(9, 9)], batch="s:3") is None
+
+
+def test_commits_off_the_local_disk(spark, path):
+    """Through Hadoop's file system: a commit is renamed when it is whole; one that has died in between is not seen; the second of two is told so."""
+    t = Table.create(spark, path, "id INT PRIMARY KEY, n INT")
+    for x in (t, two := Table(spark, path)):
+        x.store.local = False
+    t.insert([(1, 1)])
+    log = two.log
+    commit = Commit(t.version + 1, "write")
+    with open(f"{path}/{log.name(commit.version)}.0123.tmp", "w") as f:  # what a writer that dies before the rename leaves
+        f.write(commit.dump()[:20])
+    assert rows(Table(spark, path).read()) == [(1, 1)] and t.version == commit.version - 1
+    log.append(commit, True)
+    with pytest.raises(SlotTaken):
+        t.log.append(commit, True)
+    two.upsert([(2, 2)])
+    assert rows(t.read()) == [(1, 1), (2, 2)]
+
+    class Elsewhere:
+        def getUri(self):
+            return self
+
+        def getScheme(self):
+            return "s3a"
+
+    t.store.fs = Elsewhere()
+    with pytest.raises(CorruptTable, match="whole or not at all"):
+        t.store.create("_log/x", "", False)
+
+
+def test_a_column_dropped_and_one_of_another_type(spark, path):
+    t = Table.create(spark, path, "id INT PRIMARY KEY, a TEXT, b REAL, INDEX(a)")
+    old = t.insert([(1, "x", 1.5), (2, "y", 2.5)])
+    t.upsert([(2, "z", 3.5)])
+    with pytest.raises(SchemaError):
+        t.drop_column("a")
+    t.drop_index("idx_data_a")
+    t.drop_column("a")
+    t.alter_type("b", "TEXT")
+    assert rows(t.read()) == [(1, "1.5"), (2, "3.5")] and rows(t.read(old)) == [(1, "1.5"), (2, "2.5")]
+    with pytest.raises(SchemaError):
+        t.add_column("a", "INT")
+    t.add_column("c", "INT")
+    t.upsert([(3, "q", 7)])
+    assert rows(t.lookup(t.add_index(["c"]), 7)) == [(3, "q", 7)] and t.schema.indexes[0].id == 2
+    assert all(x.problems == 0 for x in t.check().collect())
+
+
+def test_a_long_transaction_has_a_short_plan(spark, path):
+    t = Table.create(spark, path, "id INT PRIMARY KEY, n INT")
+    t.insert([(k, 0) for k in range(5)])
+    x, sizes = t.begin(), []
+    for k in range(12):
+        x.savepoint(f"s{k}")
+        x.update(f"id <= {k}", {"n": F.col("n") + 1})
+        sizes.append(len(x.read()._jdf.queryExecution().logical().toString()))
+    assert max(sizes[1:]) < 2 * sizes[1]
+    x.rollback_to("s3")
+    x.commit()
+    assert rows(t.read()) == [(0, 3), (1, 2), (2, 1), (3, 0), (4, 0)]

@@ -113,9 +113,19 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("path", nargs="?")
     p.add_argument("--config")
     p.add_argument("--compact-at", dest="l0_limit")
+    p.add_argument("--mem", help="the driver's memory, such as 4g")
+    p.add_argument("--cache", help="share of the memory for cached data, 0 to 1")
+    p.add_argument("--compaction-threads", help="tasks that run at a time, compactions' among them, on a local session")
     p.add_argument("--sql")
     given = p.parse_args(args)
-    spark = SparkSession.builder.appName("vtable").getOrCreate()
+    builder = SparkSession.builder.appName("vtable")
+    if given.mem:
+        builder = builder.config("spark.driver.memory", given.mem)
+    if given.cache:
+        builder = builder.config("spark.memory.storageFraction", given.cache)
+    if given.compaction_threads:
+        builder = builder.master(f"local[{int(given.compaction_threads)}]")
+    spark = builder.getOrCreate()
     options = (parse_file(given.config) if given.config else {}) | ({"l0_limit": given.l0_limit} if given.l0_limit else {})
     if given.shell == "kv":
         shell, lines = KvShell(spark, given.path), (x.strip() for x in sys.stdin)

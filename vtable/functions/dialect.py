@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 
 def ifnull(a: Column, b: Column) -> Column:
@@ -54,13 +57,26 @@ def escape_key(x: Column) -> Column:
     return F.concat(F.regexp_replace(F.regexp_replace(F.hex(x), "(..)", "$1 "), "00 ", "00FF "), F.lit("00")).alias("escaped")
 
 
-def table_stats(spark: SparkSession, path: str):
-    from ..table import Table
+@udtf(returnType="path string, level int, index int, rows long, bytes long, low_v long, high_v long")
+class TableFiles:
+    """table_files(path): the files of a table's newest state, read from its log by one task."""
+
+    def eval(self, path: str) -> Iterator[tuple]:
+        from ..streaming.source import live_files
+
+        for f in live_files(path):
+            yield f["path"], f["level"], f["index"], f["rows"], f["bytes"], f["low_v"], f["high_v"]
+
 
-    return Table(spark, path).stats()
+@udtf(returnType="position int, word string")
+class Words:
+    """words(text): the runs of anything but white space, with their positions from 1 on."""
 
+    def eval(self, text: str | None) -> Iterator[tuple]:
+        yield from enumerate((text or "").split(), 1)
 
-def table_changes(spark: SparkSession, path: str, after: int, until: int):
-    from ..table import Table
 
-    return Table(spark, path).changes(after, until)
+def register(spark: SparkSession) -> None:
+    """Makes the table functions known to SQL."""
+    spark.udtf.register("table_files", TableFiles)
+    spark.udtf.register("words", Words)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dialect
 from ..kv import KV
 from ..operators import resolve
 from ..sources import files
@@ -136,9 +137,19 @@ def integrity_summary(spark, sf_dir):
     return _orders(spark, sf_dir).check()
 
 
-@query(None)
+@query("SELECT 'idx_orders_o_custkey' AS kind, 0 AS level, count(*) AS rows FROM orders UNION ALL SELECT 'rows', 0, count(*) FROM orders")
 def table_stats(spark, sf_dir):
-    return _orders(spark, sf_dir, [(("o_custkey",), False)]).stats()
+    return _orders(spark, sf_dir, [(("o_custkey",), False)]).stats().select("kind", "level", "rows")
+
+
+@query("SELECT 0 AS level, count(*)::BIGINT AS rows FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 1, count(*) FROM orders")
+def udtf_table_files(spark, sf_dir):
+    """The files of a table by a table function: rows of a compacted level, and of one commit above it."""
+    t = _orders(spark, sf_dir)
+    t.compact(everything=True)
+    t.update("o_orderkey % 2 = 0", {"o_totalprice": F.lit(0.0)})
+    dialect.register(spark)
+    return spark.sql(f"SELECT level, sum(rows) AS rows FROM table_files('{t.path}') GROUP BY level")
 
 
 @query(f"SELECT o_orderkey, o_custkey, o_totalprice + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 9 <> 0")
@@ -150,18 +161,18 @@ def compacted_read(spark, sf_dir):
     return t.read()
 
 
-@query(f"SELECT {_ALL} FROM orders WHERE o_orderkey <= 500")
+@query(f"SELECT {_ALL} FROM orders")
 def backup_restore(spark, sf_dir):
     t, path = _orders(spark, sf_dir), new_folder(spark)
     t.backup(path)
     t.delete("true")
-    return Table.open(spark, path).range(None, 500)
+    return Table.open(spark, path).read()
 
 
-@query("SELECT count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE event_id > 0")
+@query("SELECT count(*) AS n, sum(event_id)::BIGINT AS ids FROM events")
 def wal_replay(spark, sf_dir):
     """A log that is opened anew: every committed change row is there once."""
-    events = read(spark, sf_dir, "events").where("event_id > 0").select("event_id", "user_id", "value")
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "value")
     path = new_folder(spark)
     t = Table.create(spark, path, TableSchema.of("events", events.schema, ["event_id"]), options=Options(sync="OFF"))
     for k in range(3):
@@ -224,3 +235,104 @@ def change_feed_stored(spark, sf_dir):
     at = [t.insert(rows.where(f"o_orderkey % 3 = {k}")) for k in range(3)]
     register(spark)
     return spark.read.format("vtable_changes").option("after", at[0]).option("until", at[1]).load(t.path).drop("_v", "_d")
+
+
+# access paths over a stored table: a compacted level below two commits ---------------------------------------------------------------
+
+_LAYERED = f"(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 50 <> 7)"
+
+
+def _layered(spark: SparkSession, sf_dir: str, indexes=()) -> Table:
+    t = _orders(spark, sf_dir, indexes)
+    t.compact(everything=True)
+    t.update("o_orderkey % 10 = 0", {"o_totalprice": F.col("o_totalprice") + 1})
+    t.delete("o_orderkey % 50 = 7")
+    return t
+
+
+def stored(name: str, sql: str, indexes=()):
+    """Registers a read of the layered table."""
+
+    def add(f):
+        QUERIES[name], ORACLE[name] = (lambda spark, sf_dir: f(_layered(spark, sf_dir, indexes))), sql.replace("{t}", _LAYERED)
+        return f
+
+    return add
+
+
+_BY_CUSTOMER = [(("o_custkey", "o_orderpriority"), False)]
+
+
+@stored("stored_get", f"SELECT {_ALL} FROM {{t}} WHERE o_orderkey = 70")
+def _(t):
+    return t.frame([t.get(70)] if t.get(70) and t.get(57) is None else [])
+
+
+stored("stored_where_key", f"SELECT {_ALL} FROM {{t}} WHERE o_orderkey = 80")(lambda t: t.where(o_orderkey=80))
+stored("stored_range", f"SELECT {_ALL} FROM {{t}} WHERE o_orderkey >= 100 AND o_orderkey < 9000")(lambda t: t.range(100, 9000, high_open=True))
+stored("stored_seek_100", f"SELECT {_ALL} FROM {{t}} WHERE o_orderkey >= 321 ORDER BY o_orderkey LIMIT 100")(lambda t: t.seek(321, 100))
+stored("stored_multi_get", f"SELECT {_ALL} FROM {{t}} WHERE o_orderkey IN (3, 50, 57, 999, 123456789)")(lambda t: t.multi_get([3, 50, 57, 999, 123456789]))
+stored("stored_multi_get_joined", f"SELECT {_ALL} FROM {{t}} WHERE o_orderkey % 3 = 0")(lambda t: t.multi_get(t.read().where("o_orderkey % 3 = 0").select("o_orderkey")))
+stored("stored_full_scan", f"SELECT {_ALL} FROM {{t}}")(lambda t: t.read())
+stored("stored_lookup", f"SELECT {_ALL} FROM {{t}} WHERE o_custkey = 42", _BY_CUSTOMER)(lambda t: t.lookup(t.schema.indexes[0].name, 42))
+stored("stored_lookup_prefix2", f"SELECT {_ALL} FROM {{t}} WHERE o_custkey = 42 AND o_orderpriority = '5-LOW'", _BY_CUSTOMER)(lambda t: t.where(o_custkey=42, o_orderpriority="5-LOW"))
+stored("stored_lookup_range", f"SELECT {_ALL} FROM {{t}} WHERE o_custkey BETWEEN 10 AND 400", _BY_CUSTOMER)(lambda t: t.lookup_range(t.schema.indexes[0].name, 10, 400))
+stored("stored_changes", f"SELECT o_orderkey, o_orderkey % 50 = 7 AS _d FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 50 = 7")(lambda t: t.changes(t.version - 2, t.version).select("o_orderkey", "_d"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 7 THEN 'delete' ELSE 'update' END AS change, o_totalprice AS old_price, CASE WHEN o_orderkey % 50 <> 7 THEN o_totalprice + 1 END AS new_price FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 50 = 7")
+def diff_across_compaction(spark, sf_dir):
+    """Two snapshots with a compaction between them that has merged the old one's rows."""
+    t = _layered(spark, sf_dir)
+    old = t.version - 2
+    t.compact(everything=True)
+    return t.diff(old, t.version).select("o_orderkey", "change", F.col("old.o_totalprice").alias("old_price"), F.col("new.o_totalprice").alias("new_price"))
+
+
+@query(f"SELECT {_ALL} FROM orders WHERE o_custkey = 42")
+def lookup_before_index(spark, sf_dir):
+    """An index made later, asked at a version before it."""
+    t = _orders(spark, sf_dir)
+    then = t.version
+    t.update("o_custkey = 42", {"o_custkey": F.lit(-1).cast("long")})
+    return t.lookup(t.add_index(["o_custkey"]), 42, as_of=then)
+
+
+@query(
+    """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 = 0 THEN 4.0 WHEN o_orderkey < 20 AND o_orderkey >= 0 THEN 100.0 + o_orderkey ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders
+WHERE o_orderkey % 6 <> 1"""
+)
+def txn_many_statements(spark, sf_dir):
+    """Fifty statements under nested savepoints, some undone."""
+    t = _orders(spark, sf_dir)
+    with t.transaction() as x:
+        for k in range(20):
+            x.update(f"o_orderkey = {k}", {"o_totalprice": F.lit(100.0 + k)})
+        x.savepoint("a")
+        for k in range(10):
+            x.put([{"o_orderkey": -100 - k, "o_custkey": k}])
+            x.savepoint("b")
+            x.delete_keys([k])
+        x.rollback_to("b")
+        x.rollback_to("a")
+        x.delete("o_orderkey % 6 = 1")
+        for k in range(8):
+            x.savepoint(f"c{k}")
+            x.update("o_orderkey % 4 = 0", {"o_totalprice": F.lit(float(k))})
+        x.rollback_to("c5")
+        x.release("c0")
+    return t.read()
+
+
+@query("SELECT o_orderkey, o_totalprice::VARCHAR IS NOT NULL AS priced, floor(o_totalprice)::BIGINT AS whole FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, true, 1 FROM orders WHERE o_orderkey % 2 <> 0")
+def schema_drop_and_alter(spark, sf_dir):
+    """A column of another type, one dropped, an index dropped and made anew."""
+    t = _orders(spark, sf_dir, [(("o_custkey",), False)])
+    t.update("o_orderkey % 2 <> 0", {"o_totalprice": F.lit(1.0)})
+    t.alter_type("o_totalprice", "INT")
+    t.drop_index(t.schema.indexes[0].name)
+    t.drop_column("o_orderpriority")
+    name = t.add_index(["o_custkey"])
+    t.update("o_orderkey = 3", {"o_custkey": F.lit(5).cast("long")})
+    rows = t.read().join(t.index(name), ["o_orderkey", "o_custkey"])
+    return rows.select("o_orderkey", F.col("o_totalprice").isNotNull().alias("priced"), F.col("o_totalprice").alias("whole")) if "o_orderpriority" not in rows.columns else rows

@@ -172,9 +172,9 @@ _range("range_lower_only", "o_orderkey >= 1000", low=1000)
 _range("range_upper_only", "o_orderkey < 300", high=300, high_open=True)
 
 
-@query(f"SELECT {_COLUMNS} FROM orders ORDER BY o_orderkey LIMIT 500")
+@query(f"SELECT {_COLUMNS} FROM orders ORDER BY o_orderkey")
 def pk_ordered_scan(spark, sf_dir):
-    return _orders(spark, sf_dir).orderBy("o_orderkey").limit(500)
+    return _orders(spark, sf_dir).orderBy("o_orderkey")
 
 
 @query(f"SELECT {_COLUMNS} FROM orders WHERE o_orderkey >= 321 ORDER BY o_orderkey LIMIT 100")
@@ -209,10 +209,10 @@ def index_lookup_then_fetch(spark, sf_dir):
     return access.by_index(lines, ["l_orderkey"], index, F.col("o_custkey").between(10, 12))
 
 
-@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey >= 20 ORDER BY o_custkey, o_orderkey LIMIT 200")
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey >= 20 ORDER BY o_custkey, o_orderkey")
 def index_range_ordered(spark, sf_dir):
     index = access.index_entries(_orders(spark, sf_dir), ["o_custkey"], ORDER)
-    return access.key_range(index, "o_custkey", 20).orderBy("o_custkey", "o_orderkey").limit(200)
+    return access.key_range(index, "o_custkey", 20).orderBy("o_custkey", "o_orderkey")
 
 
 @query(

@@ -167,6 +167,15 @@ class Session:
     def _add_column(self, name: str, column: str, kind: str) -> None:
         self.table(name).add_column(column, kind)
 
+    def _drop_column(self, name: str, column: str) -> None:
+        self.table(name).drop_column(column)
+
+    def _alter_type(self, name: str, column: str, kind: str) -> None:
+        self.table(name).alter_type(column, kind)
+
+    def _drop_index(self, index: str, name: str) -> None:
+        self.table(name).drop_index(index)
+
     def _show(self, name: str, what: str) -> DataFrame:
         return getattr(self.table(name), what.lower())()
 
@@ -184,6 +193,9 @@ class Session:
         (rf"rollback\s+to(?:\s+savepoint)?\s+{_NAME}", lambda s, n: s._each("rollback_to", n)),
         (rf"alter\s+table\s+{_NAME}\s+add\s+(?:column\s+)?(\w+)\s+(.+)", _add_column),
         (rf"alter\s+table\s+{_NAME}\s+rename\s+to\s+{_NAME}", _rename),
+        (rf"alter\s+table\s+{_NAME}\s+drop\s+(?:column\s+)?(\w+)", _drop_column),
+        (rf"alter\s+table\s+{_NAME}\s+alter\s+(?:column\s+)?(\w+)\s+type\s+(.+)", _alter_type),
+        (rf"drop\s+index\s+(\w+)\s+on\s+{_NAME}", _drop_index),
         (rf"create\s+(unique\s+)?index\s+(?:\w+\s+)?on\s+{_NAME}\s*\(([^()]*)\)", _index),
         (rf"backup\s+{_NAME}\s+to\s+'([^']*)'", lambda s, n, p: s.table(n).backup(p) and None),
         (rf"compact\s+{_NAME}", lambda s, n: s.table(n).compact(True) and None),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -87,3 +88,43 @@ def stream_stateful(spark, sf_dir):
     table = Table.create(spark, f"{folder}/t", TableSchema.of("totals", totals.schema, ["user_id"]), options=Options(sync="OFF"))
     write_to(totals, table, f"t{uuid.uuid4().hex}", f"{folder}/cp").outputMode("update").trigger(availableNow=True).start().awaitTermination()
     return table.read().withColumn("total", F.round("total", 4))
+
+
+def in_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """events as a stream of three files, one for each micro-batch: those with an even number but for the last hours, those of the last hours, and
+    those with an odd number. A batch drops what is older than the watermark of the one before it, so the third drops what is late."""
+    rows = read(spark, sf_dir, "events")
+    even = rows.where("event_id % 2 = 0")
+    top = F.lit(even.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    recent = (F.col("ts") >= top - F.expr("INTERVAL 12 HOURS")) & (F.col("ts") < top)
+    for part in (even.where(~recent), even.where(recent), rows.where("event_id % 2 = 1")):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(0.05)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def appended(df: DataFrame, folder: str) -> DataFrame:
+    """All rows that the stream gives in append mode, run to the end of what is there."""
+    q = df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").queryName(f"a{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+@query(
+    """WITH w AS (SELECT max(ts) FILTER (WHERE event_id % 2 = 0) - INTERVAL 1 DAY AS first, max(ts) - INTERVAL 1 DAY AS last FROM events),
+e AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS s, event_id, value FROM events)
+SELECT s AS start, s + INTERVAL 1 HOUR AS "end", count(*) AS n, round(sum(value), 4) AS total FROM e, w
+WHERE (event_id % 2 = 0 OR s + INTERVAL 1 HOUR > first) AND s + INTERVAL 1 HOUR <= last GROUP BY s"""
+)
+def stream_append_late(spark, sf_dir):
+    """Windows in append mode: each is given once, when the watermark has passed it, and rows that come later are dropped. The last file's
+    rows are as old as the first's, so all but those of the last day are late."""
+    folder = new_folder(spark)
+    return appended(windows.tumbling(in_files(spark, sf_dir, folder), "1 hour", late="1 day"), folder)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_deduplicated(spark, sf_dir):
+    """The first row of each user and type, whatever comes later within the watermark."""
+    folder = new_folder(spark)
+    return appended(windows.deduplicated(in_files(spark, sf_dir, folder), "user_id", "event_type", late="10000 days").select("user_id", "event_type"), folder)

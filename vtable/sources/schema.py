@@ -55,6 +55,9 @@ class TableSchema:
     columns: tuple[Column, ...]
     key: tuple[str, ...]
     indexes: tuple[Index, ...] = field(default=())
+    #: Names of dropped columns, and the highest number of a dropped index: neither is given again.
+    past_columns: tuple[str, ...] = ()
+    past_index: int = 0
 
     def __post_init__(self):
         names = [c.name for c in self.columns]
@@ -83,12 +86,35 @@ class TableSchema:
                 return i
         raise SchemaError(f"{self.name}: no index {name}")
 
+    def drop_column(self, name: str) -> TableSchema:
+        """Without a column that is in no key or index. Its name can't be given again: files still hold its values."""
+        self._loose(name)
+        return replace(self, columns=tuple(c for c in self.columns if c.name != name), past_columns=(*self.past_columns, name))
+
+    def alter_type(self, name: str, kind: str) -> TableSchema:
+        """With another type of a column that is in no key or index."""
+        self._loose(name)
+        return replace(self, columns=tuple(replace(c, type=spark_type(kind).simpleString()) if c.name == name else c for c in self.columns))
+
+    def _loose(self, name: str) -> None:
+        if name not in [c.name for c in self.columns]:
+            raise SchemaError(f"{self.name}: no column {name}")
+        if name in self.key or any(name in i.columns for i in self.indexes):
+            raise SchemaError(f"{self.name}: {name} is in the key or an index")
+
+    def drop_index(self, name: str) -> TableSchema:
+        gone = self.index(name)
+        return replace(self, indexes=tuple(i for i in self.indexes if i.name != name), past_index=max(self.past_index, gone.id))
+
     def add_column(self, name: str, kind: str) -> TableSchema:
+        if name.lower() in [c.lower() for c in self.past_columns]:
+            raise SchemaError(f"{self.name}: {name} was dropped; its name can't be given again")
         new = Column(max(c.id for c in self.columns) + 1, name, spark_type(kind).simpleString())
         return replace(self, columns=(*self.columns, new))
 
     def add_index(self, columns: tuple[str, ...], unique: bool = False, name: str | None = None) -> TableSchema:
-        number = max((i.id for i in self.indexes), default=0) + 1
+        number = max((i.id for i in self.indexes), default=0)
+        number = max(number, self.past_index) + 1
         name = name or f"{'uidx' if unique else 'idx'}_{self.name}_{'_'.join(columns)}"
         return replace(self, indexes=(*self.indexes, Index(number, name, tuple(columns), unique)))
 
@@ -101,12 +127,12 @@ class TableSchema:
         return out
 
     def to_json(self) -> str:
-        return json.dumps({"name": self.name, "columns": [[c.id, c.name, c.type] for c in self.columns], "key": self.key, "indexes": [[i.id, i.name, i.columns, i.unique] for i in self.indexes]})
+        return json.dumps({"name": self.name, "columns": [[c.id, c.name, c.type] for c in self.columns], "key": self.key, "indexes": [[i.id, i.name, i.columns, i.unique] for i in self.indexes], "past_columns": self.past_columns, "past_index": self.past_index})
 
     @classmethod
     def from_json(cls, text: str) -> TableSchema:
         d = json.loads(text)
-        return cls(d["name"], tuple(Column(*c) for c in d["columns"]), tuple(d["key"]), tuple(Index(i, n, tuple(c), u) for i, n, c, u in d["indexes"]))
+        return cls(d["name"], tuple(Column(*c) for c in d["columns"]), tuple(d["key"]), tuple(Index(i, n, tuple(c), u) for i, n, c, u in d["indexes"]), tuple(d.get("past_columns", ())), d.get("past_index", 0))
 
     @classmethod
     def of(cls, name: str, struct: T.StructType, key: list[str] | tuple[str, ...], indexes: tuple[tuple[tuple[str, ...], bool], ...] = ()) -> TableSchema:

@@ -43,6 +43,22 @@ def _schema(path: str) -> str:
         return json.loads(s.read())["schema"]
 
 
+def live_files(path: str) -> list[dict]:
+    """The files of the newest state, as the log has them."""
+    fs, base = _filesystem(path)
+    states = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(f"{base}/_log")) if f.base_name.endswith(".state"))
+    files, last = {}, 0
+    if states:
+        with fs.open_input_stream(states[-1]) as s:
+            state = json.loads(s.read())
+        files, last = {f["path"]: f for f in state["files"]}, state["version"]
+    for c in _commits(path, last):
+        for gone in c["remove"]:
+            files.pop(gone, None)
+        files |= {f["path"]: f for f in c["add"]}
+    return list(files.values())
+
+
 class FilePart(InputPartition):
     def __init__(self, path: str, version: int):
         super().__init__(None)

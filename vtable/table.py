@@ -575,6 +575,31 @@ class Table:
     def add_column(self, name: str, kind: str) -> int:
         return self._commit("schema", schema=self.schema.add_column(name, kind))
 
+    def drop_column(self, name: str) -> int:
+        """The column is no longer read; compaction leaves its values out."""
+        return self._commit("schema", schema=self.schema.drop_column(name))
+
+    def alter_type(self, name: str, kind: str) -> int:
+        """Rewrites the rows with the column cast to another type, versions and all; fails if someone else commits meanwhile. Versions before
+        the last compaction can't be read any more."""
+        head, old, uid = self.log.head(), self.schema, uuid.uuid4().hex
+        new = old.alter_type(name, kind)
+        files = [f for f in head.files.values() if not f.index]
+        added: list[DataFile] = []
+        if files:
+            level = max([1, *(f.level for f in files)])
+            rows = self._scan(files, old.stored, self._folders(head)).withColumn(name, F.col(name).cast(new.struct[name].dataType))
+            parts = max(1, -(-sum(f.bytes for f in files) // (self.options.file_mb * MEGABYTE)))
+            self._save(rows.repartitionByRange(parts, *old.key), f"data/{uid}", [*old.key, VERSION], level)
+            plain, _ = apart(files, None)
+            added = self._files(f"data/{uid}", old.key[0], new.struct, level=level, single=len(plain) == len(files))
+        return self._commit("schema", schema=new, add=added, remove=[f.path for f in files], floor=head.horizon, only_if=lambda state: state.version == head.version)
+
+    def drop_index(self, name: str) -> int:
+        index = self.schema.index(name)
+        head = self.log.head()
+        return self._commit("schema", schema=self.schema.drop_index(name), remove=[f.path for f in head.files.values() if f.index == index.id], only_if=lambda state: state.version == head.version)
+
     def rename(self, name: str) -> int:
         return self._commit("schema", schema=replace(self.schema, name=name))
 
