@@ -18,7 +18,9 @@ SPACE = "▁"
 #: A character that is no piece scores so much less than the worst piece and counts as its UTF-8 bytes.
 PENALTY = 10.0
 #: Pre-tokens whose counts a task holds at most; beyond that it begins anew.
-HELD = 200_000
+HELD = 500_000
+#: Text bytes whose distinct pre-tokens go through the trie together; a batch has no more.
+SLICE_BYTES = 2_000_000
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -128,7 +130,7 @@ def token_counts(docs: DataFrame, pieces: dict[str, float], text: str = "text",
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, int] = {}
         for b in batches:
-            for lo, texts in text_slices(b.column(1)):
+            for lo, texts in text_slices(b.column(1), SLICE_BYTES):
                 split = [t.split() if t else [] for t in texts]
                 counts = np.array([len(s) for s in split], np.int64)
                 flat = np.empty(int(counts.sum()), object)
