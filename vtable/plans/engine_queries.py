@@ -277,6 +277,15 @@ stored("stored_full_scan", f"SELECT {_ALL} FROM {{t}}")(lambda t: t.read())
 stored("stored_lookup", f"SELECT {_ALL} FROM {{t}} WHERE o_custkey = 42", _BY_CUSTOMER)(lambda t: t.lookup(t.schema.indexes[0].name, 42))
 stored("stored_lookup_prefix2", f"SELECT {_ALL} FROM {{t}} WHERE o_custkey = 42 AND o_orderpriority = '5-LOW'", _BY_CUSTOMER)(lambda t: t.where(o_custkey=42, o_orderpriority="5-LOW"))
 stored("stored_lookup_range", f"SELECT {_ALL} FROM {{t}} WHERE o_custkey BETWEEN 10 AND 400", _BY_CUSTOMER)(lambda t: t.lookup_range(t.schema.indexes[0].name, 10, 400))
+@query("SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 9800")
+def stored_index_join(spark, sf_dir):
+    """An index nested loop: the few customers' orders by the index, files without them skipped."""
+    t = _orders(spark, sf_dir, _BY_CUSTOMER)
+    few = read(spark, sf_dir, "customer").where("c_acctbal > 9800").select("c_custkey", "c_name")
+    found = t.lookup_many(t.schema.indexes[0].name, few.select("c_custkey"))
+    return few.join(found, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+
+
 stored("stored_changes", f"SELECT o_orderkey, o_orderkey % 50 = 7 AS _d FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 50 = 7")(lambda t: t.changes(t.version - 2, t.version).select("o_orderkey", "_d"))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import access, resolve
 from ..sources.workspace import read
@@ -239,20 +240,32 @@ def join_temporal(spark, sf_dir):
     return as_of_join(bought, views, ["user_id"], "event_id", "_v", strict=True).select("user_id", "event_id", F.col("_v").alias("seen")).where("seen IS NOT NULL")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, strict: bool = False) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, strict: bool = False, width: float | None = None) -> DataFrame:
     """left with the newest row of right at or before (strict: before) its time, nulls where there is none.
 
-    Union and a running last value: one shuffle on the keys, no pairs are made.
+    Union and a running last value: one shuffle on the keys, no pairs are made. With width (in the unit of the time, seconds for timestamps)
+    a key's rows are dealt out by stretches of time, so a hot key is many tasks' work: the last row of right of each key and stretch, a
+    map-side combined aggregate, is carried on over the stretches, of which a key has few, and stands before each stretch's own rows.
     """
     rest = [c for c in right.columns if c not in by]
     none = [F.lit(None).cast(right.schema[c].dataType).alias(f"r_{c}") for c in rest]
     a = left.select(*by, F.col(left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.struct(*left.columns).alias("_l"), *none)
     b = right.select(*by, F.col(right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), *[F.col(c).alias(f"r_{c}") for c in rest])
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last(F.when(F.col("_l").isNull(), F.struct(*[F.col(f"r_{c}").alias(c) for c in rest])), ignorenulls=True).over(w)
-    return a.unionByName(b).withColumn("_r", found).where("_l IS NOT NULL").select("_l.*", "_r.*")
+    rows, keys = a.unionByName(b), list(by)
+    mine = F.struct(*[F.col(f"r_{c}").alias(c) for c in rest])
+    own = F.when(F.col("_l").isNull(), mine)
+    if width is not None:
+        instant = F.col("_t").cast("timestamp") if dict(rows.dtypes)["_t"].startswith("timestamp") else F.col("_t")
+        rows, keys = rows.withColumn("_stretch", F.floor(instant.cast("double") / width)), [*by, "_stretch"]
+        ends = rows.groupBy(*keys).agg(F.max_by(own, F.when(F.col("_l").isNull(), F.col("_t"))).alias("_end"))
+        earlier = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*keys, F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+        rows = rows.join(carried, keys)
+    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last(own, ignorenulls=True).over(w)
+    if width is not None:
+        found = F.coalesce(found, F.col("_carried"))
+    return rows.withColumn("_r", found).where("_l IS NOT NULL").select("_l.*", "_r.*")
 
 
 @query(
@@ -264,3 +277,12 @@ def join_asof(spark, sf_dir):
     bought = events.where("event_type = 'purchase'").select("user_id", "event_id", "ts")
     errors = events.where("event_type = 'error'").groupBy("user_id", F.col("ts").alias("error_ts")).agg(F.max("event_id").alias("error_id"))
     return as_of_join(bought, errors, ["user_id"], "ts", "error_ts").select("event_id", "user_id", "error_id")
+
+
+@query(ORACLE["join_asof"])
+def join_asof_hot(spark, sf_dir):
+    """The same with each user's rows dealt out by days."""
+    events = read(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    errors = events.where("event_type = 'error'").groupBy("user_id", F.col("ts").alias("error_ts")).agg(F.max("event_id").alias("error_id"))
+    return as_of_join(bought, errors, ["user_id"], "ts", "error_ts", width=86_400.0).select("event_id", "user_id", "error_id")

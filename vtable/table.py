@@ -318,6 +318,18 @@ class Table:
         entries = self.index(name, as_of, values[0], values[0])
         return self._fetch(entries.where(access.key_equals(entries, index.columns[: len(values)], values)), as_of)
 
+    def lookup_many(self, name: str, values: DataFrame, as_of: int | None = None) -> DataFrame:
+        """Rows whose first indexed column is among the values of a one-column DataFrame: the inner side of an index nested loop. A few values
+        bound the index's files, and what they name the table's; many are joined."""
+        first = self.schema.index(name).columns[0]
+        wanted = values.select(F.col(values.columns[0]).alias(first)).distinct()
+        few = access.few_values(wanted, first)
+        if few is None:
+            return self._fetch(self.index(name, as_of).join(wanted, first, "left_semi"), as_of)
+        few = [v for v in few if v is not None]
+        entries = self.index(name, as_of, min(few, default=None), max(few, default=None))
+        return self._fetch(entries.where(access.is_one_of(first, self.schema.struct[first].dataType, few)), as_of)
+
     def lookup_range(self, name: str, low: Any = None, high: Any = None, as_of: int | None = None) -> DataFrame:
         """Rows whose first indexed column lies between low and high, in its order."""
         first = self.schema.index(name).columns[0]
@@ -452,6 +464,8 @@ class Table:
         added = self._files(f"data/{uid}", key[0], schema.struct)
         for index in schema.indexes:
             added += self._files(f"idx/{index.id}/{uid}", index.columns[0], schema.struct, index=index.id)
+        if self.options.sync == "FULL":
+            self.store.sync([f.path for f in added])
         for _ in range(TRIES):
             head = self.log.head()
             if batch and head.has_batch(batch):
