@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vtable.sources.log import Commit, CorruptTable, DataFile, SlotTaken
 from vtable.sources.options import Options, parse_string
 from vtable.sources.schema import SchemaError, TableSchema, parse_ddl
-from vtable.table import ConflictError, Expired, Table, UniqueViolation, apart
+from vtable.table import ConflictError, Expired, Table, UniqueViolation, apart, beneath
 from vtable.txn import commit_all
 
 
@@ -518,3 +518,23 @@ def test_a_long_transaction_has_a_short_plan(spark, path):
     x.rollback_to("s3")
     x.commit()
     assert rows(t.read()) == [(0, 3), (1, 2), (2, 1), (3, 0), (4, 0)]
+
+
+def test_a_large_level_under_small_commits_is_not_shuffled(spark, path):
+    t = Table.create(spark, path, "id INT PRIMARY KEY, v TEXT, INDEX(v)")
+    t.insert(spark.range(1000).selectExpr("id", "'old' v"))
+    t.compact(everything=True)
+    old = t.version
+    t.upsert([(5, "new"), (2000, "new")])
+    t.delete("id = 7")
+    t.upsert([(5, "newer")])
+    plan = t.read()._jdf.queryExecution()
+    assert "BroadcastHashJoin" in plan.executedPlan().toString() and "SortMergeJoin" not in plan.executedPlan().toString()
+    got = dict(rows(t.read()))
+    assert len(got) == 1000 and got[5] == "newer" and got[2000] == "new" and 7 not in got and got[8] == "old"
+    assert dict(rows(t.read(old + 1)))[5] == "new" and 7 in dict(rows(t.read(old + 1))) and 7 not in dict(rows(t.read(old + 2))) and set(dict(rows(t.read(old))).values()) == {"old"}
+    assert rows(t.lookup("idx_data_v", "newer")) == [(5, "newer")] and t.index("idx_data_v").count() == 1000
+    f = lambda folder, v, n, level=0, single=False: DataFile(f"data/{folder}/x", n, 1, level, 0, 1, 9, v, v, single)
+    assert beneath([f("a", 1, 100), f("b", 2, 10)], None)[0][0].folder == "a"
+    for files in ([f("a", 3, 100), f("b", 2, 10)], [f("a", 1, 100), f("b", 2, 60)], [f("a", 1, 100, 1), f("b", 2, 10)], [f("a", 1, 10**8), f("b", 2, 10**7)]):
+        assert beneath(files, None) == ([], [])

@@ -46,10 +46,12 @@ def latest_version(log: DataFrame, key: Sequence[str], version: str = VERSION) -
     return log.groupBy(*key).agg(F.max(version).alias("version"))
 
 
-def overlay(base: DataFrame, buffer: DataFrame, key: Sequence[str], deleted: str = DELETED) -> DataFrame:
-    """base with a transaction's buffer over it (one row for a key): the buffer's row always wins, its tombstones remove."""
+def overlay(base: DataFrame, buffer: DataFrame, key: Sequence[str], deleted: str = DELETED, small: bool = False) -> DataFrame:
+    """base with a buffer over it (one row for a key), a transaction's or that of newer commits: the buffer's row always wins, its tombstones
+    remove. small: the buffer is known to be small enough to be broadcast, so base isn't shuffled."""
     live = buffer.where(~F.coalesce(F.col(deleted), F.lit(False))).select(*base.columns)
-    return base.join(buffer.select(*key), list(key), "left_anti").select(*base.columns).unionByName(live)
+    keys = F.broadcast(buffer.select(*key)) if small else buffer.select(*key)
+    return base.join(keys, list(key), "left_anti").select(*base.columns).unionByName(live)
 
 
 def changes(log: DataFrame, after: int | None, until: int | None, version: str = VERSION) -> DataFrame:

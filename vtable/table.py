@@ -29,6 +29,8 @@ log = logging.getLogger("vtable.table")
 LITERAL_COMMITS = 500
 #: Commits whose versions are broadcast at most where they are joined.
 BROADCAST_COMMITS = 100_000
+#: Rows, and bytes of their files, of newer commits that are broadcast at most over an older level.
+OVERLAY_ROWS, OVERLAY_BYTES = 1_000_000, 32_000_000
 #: Tries to commit under the next free number.
 TRIES = 50
 #: A pin that is older is taken for one of a process that has died.
@@ -85,6 +87,20 @@ def apart(files: Sequence[DataFile], as_of: int | None) -> tuple[list[DataFile],
     return plain, mixed
 
 
+def beneath(files: Sequence[DataFile], as_of: int | None) -> tuple[list[DataFile], list[DataFile]]:
+    """Of files that must be resolved: those of the largest folder, and the others, if the folder has each key once, is older than all others, and
+    the others are few enough to be broadcast and far fewer. Else two empty lists. The log knows the rows and bytes of each file."""
+    by: dict[str, list[DataFile]] = {}
+    for f in files:
+        by.setdefault(f.folder, []).append(f)
+    base = max(by.values(), key=lambda g: sum(f.rows for f in g))
+    rest = [f for f in files if f.folder != base[0].folder]
+    top, rows = max(f.high_v for f in base), sum(f.rows for f in rest)
+    once = all(not f.level or f.single for f in base) and (as_of is None or top <= as_of)
+    small = rows <= OVERLAY_ROWS and sum(f.bytes for f in rest) <= OVERLAY_BYTES and 2 * rows <= sum(f.rows for f in base)
+    return (base, rest) if once and small and all(f.low_v > top for f in rest) else ([], [])
+
+
 class Metrics:
     """Counters of what this process has done."""
 
@@ -203,7 +219,13 @@ class Table:
         if plain or not mixed:
             out = self._scan(plain, struct, folders).where(~F.coalesce(F.col(DELETED), F.lit(False)))
         if mixed:
-            late = resolve.latest(self._scan(mixed, struct, folders), key, as_of=as_of)
+            base, delta = beneath(mixed, as_of)
+            if base:
+                newer = resolve.newest(self._scan(delta, struct, folders), key, as_of=as_of)
+                old = self._scan(base, struct, folders).where(~F.coalesce(F.col(DELETED), F.lit(False)))
+                late = resolve.overlay(old, newer, key, small=True)
+            else:
+                late = resolve.latest(self._scan(mixed, struct, folders), key, as_of=as_of)
             out = late if out is None else out.unionByName(late)
         return out
 
