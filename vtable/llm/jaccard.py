@@ -14,7 +14,7 @@ from . import common
 from .common import Scratch, binary_list, bounded_batches, checked, components, mix, runs, shingle_sets, text_slices
 
 #: Members of a signature's group, and tokens in all, that one task holds at most; larger groups are dealt out in so large blocks.
-BLOCK, BLOCK_TOKENS = 4096, 2_000_000
+BLOCK, BLOCK_TOKENS = 512, 2_000_000
 #: Sets whose token union is a column of the matrix.
 GROUP = 16
 #: Bits of a signature: fewer would make sets meet by chance, more would only be shuffled.
