@@ -190,6 +190,37 @@ def test_licenses(spark):
     assert licenses.bands_needed() < 40 and 1 - (1 - licenses.CONTAINED / (5 - licenses.CONTAINED)) ** licenses.bands_needed() >= licenses.SURE
 
 
+def test_license_recall():
+    """Whole license texts and notices within other words, a part of them changed: every template that a stretch of its length holds is found."""
+    r, t = random.Random(7), licenses.Templates.of(licenses.TEMPLATES)
+    filler = [f"filler{i}" for i in range(80)]
+    norm = lambda x: x.encode().translate(licenses._SAME).split()
+    texts, want = [], set()
+    for i in range(60):
+        words = []
+        for _ in range(r.choice([1, 2])):
+            own = norm(r.choice(licenses.TEMPLATES)[1])
+            for _ in range(r.choice([0, 0, len(own) // 60, len(own) // 30])):
+                own[r.randrange(len(own))] = r.choice(filler).encode()
+            words += [r.choice(filler).encode() for _ in range(r.randrange(40))] + own
+        texts.append(b" ".join(words))
+        grams = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        for k, (_, template) in enumerate(licenses.TEMPLATES):
+            y = norm(template)
+            goal, n, held, most = {tuple(y[j : j + 3]) for j in range(len(y) - 2)}, len(y) - 2, Counter(), 0
+            for j, g in enumerate(grams):
+                if g in goal:
+                    held[g] += 1
+                if j >= n and grams[j - n] in goal:
+                    held[grams[j - n]] -= 1
+                    held += Counter()
+                most = max(most, len(held))
+            if most >= t.contained * len(goal):
+                want.add((i, k))
+    got = {(i, k) for i, k, *_ in t.scan(texts)}
+    assert len(want) > 80 and want <= got
+
+
 def test_url_index():
     assert urlfilter.literal_tokens(r"://(?:[^/?#]*\.)?cheap-pills\.") == ["cheap", "pills"] and urlfilter.literal_tokens(r"x(?:[^/]*\.)?a-b") == []
     assert urlfilter.literal_tokens(r"/(foo|bar)/baz/") == ["baz"] and urlfilter.literal_tokens(r"foo") == [] and urlfilter.literal_tokens(r"/foo?/") == []
