@@ -538,3 +538,14 @@ def test_a_large_level_under_small_commits_is_not_shuffled(spark, path):
     assert beneath([f("a", 1, 100), f("b", 2, 10)], None)[0][0].folder == "a"
     for files in ([f("a", 3, 100), f("b", 2, 10)], [f("a", 1, 100), f("b", 2, 60)], [f("a", 1, 100, 1), f("b", 2, 10)], [f("a", 1, 10**8), f("b", 2, 10**7)]):
         assert beneath(files, None) == ([], [])
+
+
+def test_observed_reads_and_scoped_messages(spark, path, caplog):
+    t = Table.create(spark, path, "id INT PRIMARY KEY, v TEXT")
+    with caplog.at_level("DEBUG", logger="vtable.table"):
+        t.insert([(1, "a"), (2, "b"), (9, "c")])
+        t.compact(everything=True)
+    assert all(r.getMessage().startswith(f"{path}: ") for r in caplog.records) and {r.levelname for r in caplog.records} == {"DEBUG", "INFO"}
+    df, seen = t.observed(t.read().where("id > 1"))
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 2, "low": 2, "high": 9}

@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +101,13 @@ def beneath(files: Sequence[DataFile], as_of: int | None) -> tuple[list[DataFile
     return (base, rest) if once and small and all(f.low_v > top for f in rest) else ([], [])
 
 
+class Scoped(logging.LoggerAdapter):
+    """A table's messages, which begin with its path."""
+
+    def process(self, msg, kwargs):
+        return f"{self.extra['scope']}: {msg}", kwargs
+
+
 class Metrics:
     """Counters of what this process has done."""
 
@@ -126,7 +133,7 @@ class Table:
         self.spark, self.path, self.options = spark, path.rstrip("/"), options or Options()
         self.store = Store(spark, self.path)
         self.log = Log(self.store)
-        self.metrics = Metrics()
+        self.metrics, self.say = Metrics(), Scoped(log, {"scope": self.path})
         if not self.log.head().version:
             raise CorruptTable(f"{path} holds no table")
 
@@ -242,6 +249,13 @@ class Table:
 
     as_of = read
 
+    def observed(self, rows: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
+        """rows, and an observation that has, once an action has run over them, their number and the least and greatest key: metrics of the
+        executors' work, without a further job."""
+        first = self.schema.key[0]
+        seen = Observation(f"{self.schema.name}-{name}-{uuid.uuid4().hex}")
+        return rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.min(first).alias("low"), F.max(first).alias("high")), seen
+
     def changes(self, after: int | None = None, until: int | None = None) -> DataFrame:
         """Change rows, with _v and _d, of the versions after < _v <= until; only files with such versions are read. Versions that compaction
         has merged are gone."""
@@ -478,6 +492,7 @@ class Table:
             raise
         self.metrics.add("commits")
         self.metrics.add("rows_written", found[0] or 0)
+        self.say.debug("version %s: %s of %d rows", version, op, found[0] or 0)
         return version
 
     def _publish(self, rows: DataFrame, uid: str, base: int, op: str, batch: str | None) -> int | None:
@@ -514,6 +529,7 @@ class Table:
         key = list(self.schema.key)
         if theirs and rows.select(*key).join(self._scan(theirs, self.schema.stored, {f.folder: f.low_v for f in theirs}).select(*key), key, "left_semi").take(1):
             self.metrics.add("conflicts")
+            self.say.info("conflict with a commit since version %d", base)
             raise ConflictError(f"{self.schema.name}: a key was written since version {base}")
 
     def _commit(self, op: str, schema: TableSchema | None = None, only_if: Callable[[State], bool] | None = None, **more: Any) -> int:
@@ -712,7 +728,7 @@ class Table:
         version = self._commit("compact", add=added, remove=removed, horizon=limit, only_if=lambda state: state.files.keys() >= set(removed))
         self.metrics.add("compactions")
         self.metrics.add("files_removed", len(removed))
-        log.info("compacted %d files into %d at level %d", len(removed), len(added), level)
+        self.say.info("compacted %d files into %d at level %d", len(removed), len(added), level)
         return version
 
     def flush(self) -> int | None:
@@ -735,7 +751,8 @@ class Table:
         kept = set(self.store.ages("_pins"))
         for folder in [*gone, *(f"_txn/{n}" for n in self.store.names("_txn") if n not in kept)]:
             self.store.delete(folder)
-        self.log.prune(floor)
+        pruned = self.log.prune(floor)
+        self.say.info("vacuumed %d folders and %d commits below version %d", len(gone), pruned, floor)
         return gone
 
     def backup(self, path: str) -> int:
