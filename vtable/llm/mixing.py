@@ -73,8 +73,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], total: int | None =
         known = own.isin(*weights)
         mean = F.when(known, mean).otherwise(F.lit(float(default)))
         count = F.when(known, count).otherwise(F.lit(start) + F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("__u"))))
-    rows = docs.withColumn("__m", F.md5(F.coalesce(F.col(text), F.lit("")))).withColumn("__u", u).withColumn("__n", count).where("__n > 0").withColumn(rate, mean)
-    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    rows = docs.withColumn("__m", F.md5(F.coalesce(F.col(text), F.lit("")))).withColumn("__u", u).withColumn("__n", count).withColumn(rate, mean)
+    # as an outer one the generator lets no filter on the counts go below it, where they would be worked out again
+    rows = rows.withColumn(copy, F.explode_outer(F.when(F.col("__n") > 0, F.sequence(F.lit(0), F.col("__n") - 1)))).where(F.col(copy).isNotNull())
     rows = rows.withColumn(key, uniform(*identity, F.col(copy))).drop("__m", "__u", "__n")
     dealt = rows.hint("rebalance", partitions, F.col(key)) if partitions else rows.hint("rebalance", F.col(key))
     return dealt.sortWithinPartitions(key)
