@@ -68,8 +68,9 @@ def alignments(docs: DataFrame, tests: DataFrame, keys: Sequence[str], window: i
     seeds, every = item_seeds(tests, masks, window, percent)
     seeds = scratch.write(seeds, "seeds")
     ws, hs, i = F.col("ws"), F.col("hs"), F.col("i")
-    places = docs.select(*keys, words(F.col("text")).alias("ws")).where(F.size("ws") > 0).withColumn("hs", word_hashes("ws"))
-    places = places.select(*keys, "ws", "hs", F.explode(F.sequence(F.lit(0), F.size("ws") - 1)).alias("i"))
+    places = docs.select(*keys, words(F.col("text")).alias("ws")).withColumn("hs", word_hashes("ws"))
+    # as an outer one the generator lets no filter on the words go below it, where they would be split again
+    places = places.select(*keys, "ws", "hs", F.explode_outer(F.when(F.size("ws") > 0, F.sequence(F.lit(0), F.size("ws") - 1))).alias("i"))
     own = places.select(*keys, "ws", "hs", "i", F.explode(by_mask(hs, i, every)).alias("h")).where("h is not null")
     hits = own.join(checked(seeds, seeds.count()), "h")
     # an alignment's run of seeds is verified once, at its first
