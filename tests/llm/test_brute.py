@@ -381,6 +381,56 @@ def test_a_hot_text_is_one_row_of_the_sample(spark):
     assert {r.kept: r["count"] for r in got} == {True: 5000, False: 1000}
 
 
+def test_quality_is_learned_from_every_document(spark):
+    """Of 4,000 different documents: the loss of all of them is flat at the weights, the threshold is the best for all of them, and neither
+    depends on how they are dealt to tasks."""
+    r = np.random.default_rng(5)
+    words = np.array("the river runs along old town people walk there in evening and talk of rain".split())
+    texts = []
+    for i in range(4000):
+        t = " ".join(r.choice(words, r.integers(4, 40))).capitalize() + "."
+        texts.append(t.upper() + " || " * r.integers(0, 9) if i % 7 == 0 else t.replace(" ", " $# ") if i % 11 == 0 else f"{t} Number {i}.")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scorer = quality.learn(docs)
+    encoded = [t.encode() for t in texts]
+    bucket, value, sizes = quality.features(encoded)
+    owner, w = np.repeat(np.arange(len(texts)), sizes), scorer.weights
+    score = 1 / (1 + np.exp(-np.bincount(owner, weights=w[bucket] * value) - w[-1]))
+    label = scorer.labels.posterior(quality.votes(encoded))
+    error = (score - label) / len(texts)
+    flat = np.append(np.bincount(bucket, weights=error[owner] * value, minlength=len(w) - 1), error.sum()) + quality.DECAY * w
+    assert np.abs(flat).max() < 1.01 * quality.TOLERANCE
+
+    def gap(least):
+        return label[score >= least].sum() / label.sum() - (1 - label)[score >= least].sum() / (1 - label).sum()
+
+    assert gap(scorer.least) >= max(map(gap, score)) - 1e-8
+    dealt = quality.learn(docs.repartition(5))
+    assert dealt.least == scorer.least and (dealt.weights == w).all()
+
+
+def test_threshold_by_plain_sums(spark):
+    r = np.random.default_rng(6)
+    near = 1 - r.random(300) * 1e-9
+    for score, p in (
+        (np.concatenate([near, r.random(300), r.choice([0.25, 0.5], 200), r.random(100) * 1e-200]), 0.5),
+        (near, 1.0),
+        (near, 0.0),
+        (np.full(50, 0.75), 0.5),
+    ):
+        good = np.rint(np.clip(p + (p == 0.5) * (score - r.random(len(score))), 0, 1) * quality.GOOD_ONE).astype(int).tolist()
+        rows = list(zip(score.tolist(), good, strict=True))
+        got = quality.best_threshold(spark.createDataFrame([*rows, (0.9, None)], "score double, good long"))
+        goods, bads = (max(1, x) for x in (sum(good), sum(quality.GOOD_ONE - x for x in good)))
+        gaps, over, under = {}, 0, 0
+        for s, x in sorted(rows, reverse=True):
+            over, under = over + x, under + quality.GOOD_ONE - x
+            gaps[s] = over * bads - under * goods
+        at = min(s for s, x in gaps.items() if x == max(gaps.values()))
+        assert got == (at + max((s for s in gaps if s < at), default=0.0)) / 2
+    assert quality.best_threshold(spark.createDataFrame([], "score double, good long")) == 0.5
+
+
 def test_language_by_plain_counts(spark, sf_dir):
     """The whole query again by dictionaries of n-grams."""
     import zlib

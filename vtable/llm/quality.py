@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hash_words, mix, text_slices
+from .common import Scratch, bounded_batches, hash_words, mix, text_slices
 
 #: Votes: 0 bad, 1 good, 2 none. A pattern is the votes of all labellers as digits to the base 3, the first labeller's lowest.
 BAD, GOOD, NONE = 0, 1, 2
@@ -35,8 +36,13 @@ RULES = (
 LABELLERS = tuple(r[0] for r in RULES)
 #: P(bad vote) and P(good vote) of a labeller that votes, on bad and on good documents, to begin with; and how much that weighs.
 PRIOR, FIRM = np.array([[0.5, 0.5], [0.02, 0.98]]), 0.1
-#: About so many documents, and bytes of text, drawn by a hash of the text, train the scorer; so many buckets hold its weights.
-SAMPLE, SAMPLE_BYTES, BITS = 3_000, 30_000_000, 16
+#: So many buckets hold the scorer's weights. In its sums over documents derivatives and labels are whole multiples of 1 / ONE at the finest, so
+#: that no sum depends on the order of its parts.
+BITS, ONE = 16, 2.0**40
+#: The threshold is looked for in so many cells of scores at a time.
+CELLS = 2**16
+#: Labels are counted as whole multiples of 1 / GOOD_ONE for the threshold; where a sample is asked for, texts draw a number below DRAWS.
+GOOD_ONE, DRAWS = 2**30, 1_000_003
 #: The scorer is trained until no derivative of its mean loss is over TOLERANCE, in ROUNDS steps at most.
 TOLERANCE, ROUNDS, DECAY = 1e-5, 500, 1e-4
 
@@ -124,53 +130,96 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> L
     return model
 
 
-def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets, values and how many of each text: hashed words and byte trigrams of the whole text, each kind's counts by their norm, and how
-    much of the text is words that are there so often, by powers of two of their count and of the number of words."""
-    buckets, values, sizes = [], [], []
+def counted(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets, counts, and how many of them each text (row) has of each kind (column): hashed byte trigrams and words of the whole text, and the
+    words that are there so often, by powers of two of their count, without and with the power of two of the number of words."""
+    buckets, counts, kinds = [], [], np.zeros((len(texts), 4), np.int32)
     mask = np.uint64(2**BITS - 1)
-    for t in texts:
+    for i, t in enumerate(texts):
         t = t or b""
         b = np.frombuffer(t, np.uint8).astype(np.uint64)
         three = mix(b[:-2] | b[1:-1] << np.uint64(8) | b[2:] << np.uint64(16)) & mask if len(b) > 2 else b[:0]
         words = mix(hash_words(t.split()) + np.uint64(1)) & mask
-        found, value = [], []
-        for x in (three, words):
+        for k, x in enumerate((three, words)):
             u, c = np.unique(x, return_counts=True)
-            found.append(u.astype(np.int32))
-            value.append(c / max(1.0, np.sqrt((c * c).sum())))
+            buckets.append(u.astype(np.int32))
+            counts.append(c)
+            kinds[i, k] = len(u)
         if len(words):
             often, many = np.log2(c).astype(np.int64), int(np.log2(len(words)))
-            part = np.bincount(often, weights=c) / len(words)
+            part = np.bincount(often, weights=c).astype(np.int64)
             at = np.flatnonzero(part)
             for code in (at, at + 64 * (many + 1)):
-                found.append((mix(code.astype(np.uint64) + np.uint64(1 << 50)) & mask).astype(np.int32))
-                value.append(part[at])
-        buckets += found
-        values += value
-        sizes.append(sum(map(len, found)))
-    return np.concatenate(buckets) if buckets else np.zeros(0, np.int32), np.concatenate(values) if values else np.zeros(0), np.array(sizes, np.int64)
+                buckets.append((mix(code.astype(np.uint64) + np.uint64(1 << 50)) & mask).astype(np.int32))
+                counts.append(part[at])
+            kinds[i, 2:] = len(at)
+    return np.concatenate(buckets) if buckets else np.zeros(0, np.int32), np.concatenate(counts) if counts else np.zeros(0, np.int64), kinds
+
+
+def scales(count: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """What the counts of each text and kind are multiplied by: one by their norm for trigrams and words, one by the number of words for the rest."""
+    sizes, out = kinds.ravel(), np.zeros(kinds.size)
+    if len(count):
+        there, c = sizes > 0, count.astype(float)
+        starts = (np.cumsum(sizes) - sizes)[there]
+        by_norm = np.tile([True, True, False, False], len(kinds))[there]
+        out[there] = 1 / np.where(by_norm, np.sqrt(np.add.reduceat(c * c, starts)), np.add.reduceat(c, starts))
+    return out
 
 
-def margins(w: np.ndarray, bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=w[bucket] * value, minlength=len(sizes)) + w[-1]
+def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets, values and how many of each text: hashed words and byte trigrams of the whole text, each kind's counts by their norm, and how
+    much of the text is words that are there so often, by powers of two of their count and of the number of words."""
+    bucket, count, kinds = counted(texts)
+    return bucket, count * np.repeat(scales(count, kinds), kinds.ravel()), kinds.sum(1)
 
 
-def probability(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+def packed(texts: list[bytes | None]) -> tuple[np.ndarray, bytes, bytes, bytes]:
+    """features() of a slice in few bytes: how many of each text and kind, their scales, the steps from bucket to bucket, the counts."""
+    bucket, count, kinds = counted(texts)
+    steps = np.diff(bucket, prepend=0).astype(np.uint16)
+    count_ = count.astype(np.uint16 if count.max(initial=0) < 2**16 else np.uint32)
+    codec = pa.Codec("zstd")
+    return kinds.ravel(), scales(count, kinds).tobytes(), codec.compress(steps.tobytes(), asbytes=True), bytes([count_.itemsize]) + codec.compress(count_.tobytes(), asbytes=True)
 
 
-def fit_scorer(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE, decay: float = DECAY) -> np.ndarray:
-    """Weights of a logistic regression on probabilities as labels, the last one constant: the least of the rows' weighted mean loss and
-    decay / 2 times the squared weights. By limited-memory quasi-Newton steps until no derivative is over tolerance."""
-    owner, weight = np.repeat(np.arange(len(sizes)), sizes), weight / max(1e-9, weight.sum())
+@dataclass(frozen=True)
+class Slice:
+    """The features of a slice of texts."""
+
+    bucket: np.ndarray
+    count: np.ndarray
+    sizes: np.ndarray
+    scale: np.ndarray
+
+    @classmethod
+    def of(cls, kinds: np.ndarray, scale: bytes, steps: bytes, counts: bytes) -> Slice:
+        n, width, codec = int(kinds.sum()), counts[0], pa.Codec("zstd")
+        bucket = np.cumsum(np.frombuffer(codec.decompress(steps, 2 * n), np.uint16), dtype=np.uint16).astype(np.int64)
+        count = np.frombuffer(codec.decompress(counts[1:], width * n), np.uint16 if width == 2 else np.uint32).astype(float)
+        return cls(bucket, count, kinds, np.frombuffer(scale))
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(self.sizes))
+        if len(self.bucket):
+            there = self.sizes > 0
+            sums[there] = np.add.reduceat(w.take(self.bucket) * self.count, (np.cumsum(self.sizes) - self.sizes)[there])
+        a, b, c, d = (sums * self.scale).reshape(-1, 4).T
+        return a + b + c + d + w[-1]
+
+    def derivatives(self, error: np.ndarray, one: float) -> np.ndarray:
+        """By bucket, the sum of each text's error times its value, as whole multiples of 1 / one."""
+        x = np.rint(np.repeat(np.repeat(error * one, 4) * self.scale, self.sizes) * self.count)
+        return np.bincount(self.bucket, weights=x, minlength=2**BITS).astype(np.int64)
+
+
+def probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
-    def loss(w):
-        z = margins(w, bucket, value, sizes)
-        e = weight * (probability(z) - label)
-        g = np.append(np.bincount(bucket, weights=e[owner] * value, minlength=2**BITS), e.sum()) + decay * w
-        return (weight * (np.logaddexp(0, z) - label * z)).sum() + decay / 2 * (w @ w), g
 
+def fit_scorer(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Weights at which loss, which gives a value and its derivatives, is least, the last one constant. By limited-memory quasi-Newton steps
+    until no derivative is over tolerance."""
     w, past = np.zeros(2**BITS + 1), []
     f, g = loss(w)
     for _ in range(rounds):
@@ -199,27 +248,107 @@ def fit_scorer(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, label:
     return w
 
 
-def best_threshold(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
-    """Halfway between the two neighbouring scores that tell good from bad best: where the share of the good at or over it less the share
-    of the bad (each row is as much of either as its label says) is largest; the lowest such."""
-    order = np.argsort(-score, kind="stable")
-    s, good, bad = score[order], (weight * label)[order], (weight * (1 - label))[order]
-    gap = np.cumsum(good) / max(1e-9, good.sum()) - np.cumsum(bad) / max(1e-9, bad.sum())
-    last = np.append(s[1:] != s[:-1], True)
-    at = np.flatnonzero(last)[::-1][np.argmax(np.round(gap[last][::-1], 9))] if len(s) else -1
-    return 0.5 if at < 0 else float((s[at] + s[at + 1]) / 2) if at + 1 < len(s) else float(s[at] / 2)
+def _slices(docs: DataFrame, text: str, doc_id: str, drawn: bool) -> DataFrame:
+    """A row for a slice of texts: doc_id, draw (a number below DRAWS by a hash of the text, if drawn, else 0) and vote pattern of each, features."""
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit("quality")), F.lit(DRAWS)) if drawn else F.lit(0)
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), draw.cast("int").alias("draw"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, texts in text_slices(b.column(1)):
+                n = pa.array([0, len(texts)], pa.int32())
+                pattern = (votes(texts) * 3 ** np.arange(len(LABELLERS))).sum(1).astype(np.int32)
+                kinds, *binary = packed(texts)
+                lists = [pa.ListArray.from_arrays(n, x) for x in (b.column(0).slice(lo, len(texts)), b.column(2).slice(lo, len(texts)), pa.array(pattern))]
+                lists.append(pa.ListArray.from_arrays(pa.array([0, len(kinds)], pa.int32()), pa.array(kinds)))
+                yield pa.RecordBatch.from_arrays([*lists, *(pa.array([x], pa.binary()) for x in binary)], names=["doc_id", "draw", "pattern", "kinds", "scale", "steps", "counts"])
+
+    return slim.mapInArrow(pack, "doc_id array<long>, draw array<int>, pattern array<int>, kinds array<int>, scale binary, steps binary, counts binary")
+
 
+def _unpacked(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, Slice]]:
+    """draw and pattern of each text, and the features, of each row of _slices."""
+    column = {n: b.column(b.schema.get_field_index(n)) for n in ("draw", "pattern", "kinds", "scale", "steps", "counts")}
+    for i in range(b.num_rows):
+        draw, pattern, kinds = (column[n][i].values.to_numpy() for n in ("draw", "pattern", "kinds"))
+        yield draw, pattern, Slice.of(kinds, *(column[n][i].as_py() for n in ("scale", "steps", "counts")))
 
-def _slim(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
+def _loss(slices: DataFrame, labels: Broadcast, n: int, least: int, decay: float = DECAY) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """The mean logistic loss of the drawn of n documents, with probabilities as labels, and decay / 2 times the squared weights; and its derivatives.
 
-def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for _, texts in text_slices(b.column(1)):
-            p, n = np.unique((votes(texts) * 3 ** np.arange(len(LABELLERS))).sum(1), return_counts=True)
-            size = sum(len(t) for t in texts if t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(p, -1)), pa.array(np.append(n, size))], names=["pattern", "n"])
+    Each task adds its documents up as whole numbers, small enough that those of n documents fit into 64 bits, so the sums are the same however
+    the documents are dealt to tasks. What the driver gets is a number for each weight.
+    """
+    one = min(ONE, 2.0 ** (60 - n.bit_length()))
+    rows, context = slices.select("draw", "pattern", "kinds", "scale", "steps", "counts"), slices.sparkSession.sparkContext
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        sent = context.broadcast(w)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, w = np.zeros(2**BITS + 3, np.int64), sent.value
+            for b in batches:
+                for draw, pattern, part in _unpacked(b):
+                    z, label, taken = part.margins(w), labels.value[pattern], draw < least
+                    error = np.where(taken, probability(z) - label, 0.0)
+                    total[: 2**BITS] += part.derivatives(error, one)
+                    more = np.rint(error * one).sum(), np.rint(np.where(taken, np.logaddexp(0, z) - label * z, 0.0) * (one / 256)).sum(), taken.sum()
+                    total[2**BITS :] += np.array(more).astype(np.int64)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "x"])
+
+        got = rows.mapInArrow(add, "at int, x long").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        sent.destroy()
+        total = np.zeros(2**BITS + 3)
+        total[got.column("at").to_numpy()] = got.column("x").to_numpy()
+        many = max(1.0, total[-1])
+        return total[-2] / (one / 256) / many + decay / 2 * (w @ w), total[:-2] / one / many + decay * w
+
+    return loss
+
+
+def best_threshold(rows: DataFrame) -> float:
+    """Halfway between the two neighbouring scores of rows (score, good) that tell good from bad best: where the share of the good at or over it
+    less the share of the bad (each row is good / GOOD_ONE of the one and the rest of the other; null counts as neither) is largest; the lowest such.
+
+    Scores are counted by cells. Where a cell begins the difference is known; within it, it is at most what it would be had all the cell's
+    good rows the higher scores. Cells that may hold a better one are divided, until there is none.
+    """
+    edges = (np.arange(CELLS) / CELLS).view(np.int64)
+    rows = rows.where("good IS NOT NULL")
+    while True:
+        sent = rows.sparkSession.sparkContext.broadcast(edges)
+
+        def cells(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                # doubles that are not negative have the order of their bits
+                key = b.column(0).to_numpy().view(np.int64)
+                cell = np.searchsorted(sent.value, key, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(key), b.column(1)], names=["cell", "key", "good"])
+
+        by = rows.select("score", "good").mapInArrow(cells, "cell int, key long, good long").groupBy("cell")
+        got = by.agg(F.sum("good").alias("good"), F.sum(F.lit(GOOD_ONE) - F.col("good")).alias("bad"), F.min("key").alias("lo"), F.max("key").alias("hi")).toArrow()
+        sent.destroy()
+        if not got.num_rows:
+            return 0.5
+        got = got.sort_by([("cell", "descending")])
+        good, bad = (np.array(got.column(c).to_pylist(), object) for c in ("good", "bad"))
+        lo, hi = (got.column(c).to_numpy() for c in ("lo", "hi"))
+        over, under = np.cumsum(good), np.cumsum(bad)
+        goods, bads = max(1, over[-1]), max(1, under[-1])
+        gap, most = over * bads - under * goods, over * bads - (under - bad) * goods
+        best = gap.max()
+        again = (lo < hi) & (most >= best).astype(bool)
+        if not again.any():
+            break
+        step = (hi[again] - lo[again]) // max(2, CELLS // int(again.sum())) + 1
+        parts = [np.arange(a, b + 1, s) for a, b, s in zip(lo[again], hi[again], step, strict=True)]
+        # cells that are done with stay apart: together they might have to be divided again
+        edges = np.unique(np.concatenate([np.zeros(1, np.int64), lo, *parts, hi[again] + 1]))
+    at = np.flatnonzero(gap == best)[-1]
+    s = np.append(lo[at], hi[at + 1 : at + 2]).view(float)
+    return float(s.sum() / 2)
 
 
 @dataclass(frozen=True)
@@ -231,62 +360,65 @@ class Scorer:
     least: float
 
 
-def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Scorer:
-    """Every document's votes count in the weak-label model: their patterns are counted where the documents are, and the driver gets at most
-    a number for each pattern (3 ** labellers).
+def _learn(slices: DataFrame, sample: int | None) -> tuple[LabelModel, np.ndarray, np.ndarray, int]:
+    """The label model, its posteriors by pattern, the scorer's weights, and the number that those texts' draws are below that train it."""
+    counts = slices.select(F.explode("pattern").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).toArrow()
+    pattern, many = (counts.column(c).to_numpy().astype(np.int64) for c in ("pattern", "n"))
+    order, n = np.argsort(pattern), int(many.sum())
+    model = fit_labels(pattern[order], many[order])
+    labels = model.posterior(digits(np.arange(3 ** len(LABELLERS))))
+    least = DRAWS if sample is None else int(np.ceil(min(1.0, sample / max(1, n)) * DRAWS))
+    if not n:
+        return model, labels, np.zeros(2**BITS + 1), least
+    sent = slices.sparkSession.sparkContext.broadcast(labels)
+    weights = fit_scorer(_loss(slices, sent, n, least))
+    sent.destroy()
+    return model, labels, weights, least
 
-    The scorer is trained on about sample documents, or so many that they have about sample_bytes, drawn by a hash of the text; equal texts
-    are one row that weighs as much as all of them, so what the driver gets is bounded however often a text is there. Its labels are the
-    model's posteriors. The threshold is the score that tells the sample's good from its bad best, by the same posteriors.
-    """
-    bounded_batches(docs.sparkSession)
-    slim = _slim(docs, text, doc_id)
-    counted = slim.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    size, counted = int(counted.loc[counted["pattern"] < 0, "n"].sum()), counted[counted["pattern"] >= 0]
-    model = fit_labels(counted["pattern"].to_numpy(np.int64), counted["n"].to_numpy(np.int64))
-    share = min(1.0, sample / max(1, int(counted["n"].sum())), sample_bytes / max(1, size))
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(slices: DataFrame, labels: np.ndarray, weights: np.ndarray, least: int) -> DataFrame:
+    """doc_id, score, good of each document: the label as a multiple of 1 / GOOD_ONE, null if the document does not train the scorer."""
+    sent = slices.sparkSession.sparkContext.broadcast((labels, weights))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, weights = sent.value
         for b in batches:
-            for lo, texts in text_slices(b.column(1)):
-                bucket, value, sizes = features(texts)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array(model.posterior(votes(texts))), pa.ListArray.from_arrays(offsets, pa.array(bucket)), pa.ListArray.from_arrays(offsets, pa.array(value.astype(np.float32)))], names=["copies", "label", "bucket", "value"])
-
-    hashes = [F.xxhash64(F.coalesce("text", F.lit("")), F.lit(x)) for x in ("quality", "again")]
-    drawn = slim.withColumn("h", hashes[0]).where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
-    drawn = drawn.groupBy("h", hashes[1].alias("h2")).agg(F.count("*").alias("copies"), F.min("text").alias("text")).select("copies", "text")
-    rows = drawn.mapInArrow(train, "copies long, label double, bucket array<int>, value array<float>").toArrow().combine_chunks()
-    if not rows.num_rows:
-        return Scorer(model, np.zeros(2**BITS + 1), 0.5)
-    # a sum of doubles depends on their order: the rows are put in one that doesn't depend on tasks
-    lists = rows.column("bucket").combine_chunks(), rows.column("value").combine_chunks()
-    sizes, ends = np.diff(lists[0].offsets.to_numpy()), lists[0].offsets.to_numpy()
-    bucket, value = lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy().astype(float)
-    sums = np.add.reduceat(np.append(bucket * value, 0.0), ends[:-1]) if len(ends) > 1 else np.zeros(0)
-    order = np.lexsort((rows.column("label").to_numpy(), sums, sizes))
-    index = np.concatenate([np.arange(ends[i] - ends[0], ends[i + 1] - ends[0]) for i in order])
-    bucket, value, sizes = bucket[index], value[index], sizes[order]
-    label, copies = rows.column("label").to_numpy()[order], rows.column("copies").to_numpy()[order].astype(float)
-    weights = fit_scorer(bucket, value, sizes, label, copies)
-    return Scorer(model, weights, best_threshold(probability(margins(weights, bucket, value, sizes)), label, copies))
-
-
-def quality_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, least: float | None = None) -> DataFrame:
-    """doc_id, score, kept of each row: the probability of good quality by the linear scorer that learn() trains on docs, and whether it is
+            for i, (draw, pattern, part) in enumerate(_unpacked(b)):
+                good = pa.array(np.rint(labels[pattern] * GOOD_ONE).astype(np.int64), mask=draw >= least)
+                yield pa.RecordBatch.from_arrays([b.column(0)[i].values, pa.array(probability(part.margins(weights))), good], names=["doc_id", "score", "good"])
+
+    return slices.mapInArrow(score, "doc_id long, score double, good long")
+
+
+def _learned(docs: DataFrame, text: str, doc_id: str, sample: int | None, least: float | None) -> tuple[Scorer, DataFrame]:
+    """The scorer, with least as its threshold if that is given, and each document's doc_id and score, in the shared folder."""
+    bounded_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    slices = scratch.write(_slices(docs, text, doc_id, sample is not None), "slices")
+    model, labels, weights, below = _learn(slices, sample)
+    scores = scratch.write(_scored(slices, labels, weights, below), "scores")
+    scratch.drop("slices")
+    return Scorer(model, weights, best_threshold(scores) if least is None else least), scores
+
+
+def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int | None = None) -> Scorer:
+    """Every document counts in the weak-label model, the scorer's weights and the threshold.
+
+    Texts are read once: votes and features are written to the shared folder and deleted when the scorer is learned. The label model needs a number
+    for each vote pattern (3 ** labellers at most). The scorer is trained on all documents, the model's posteriors as labels: each step's loss
+    and derivatives are summed where the features are, and the driver gets a number for each weight. The threshold is the score that tells good
+    from bad best among all documents, by the same posteriors; it is exact. With sample, scorer and threshold are learned from about so many
+    documents, drawn by a hash of the text.
+    """
+    return _learned(docs, text, doc_id, sample, None)[0]
+
+
+def quality_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int | None = None, least: float | None = None) -> DataFrame:
+    """doc_id, score, kept of each row of docs: the probability of good quality by the linear scorer that learn() trains on docs, and whether it is
     least or more; without least, the threshold that learn() finds.
 
     Every whole text is scored. Null and empty texts are scored as texts without features. Equal texts have equal scores. Repeated rows and
     null doc_ids are each scored; other columns are not read. An empty table gives an empty result.
     """
-    scorer = learn(docs, text, doc_id, sample)
-    least = scorer.least if least is None else least
-    sent = docs.sparkSession.sparkContext.broadcast(scorer.weights)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, texts in text_slices(b.column(1)):
-                p = probability(margins(sent.value, *features(texts)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array(p), pa.array(p >= least)], names=["doc_id", "score", "kept"])
-
-    return _slim(docs, text, doc_id).mapInArrow(score, "doc_id long, score double, kept boolean")
+    scorer, scores = _learned(docs, text, doc_id, sample, least)
+    return scores.select("doc_id", "score", (F.col("score") >= scorer.least).alias("kept"))
