@@ -40,3 +40,14 @@ def test_lateral_limit_of_nulls_and_ties(spark, tmp_path):
     orders = [(k, c, t) for c in (1, 2, None) for k, t in ((None, 9.0), (7, 9.0), (5, 9.0), (6, None), (4, float("nan")), (4, float("nan")))]
     orders += [(1, 3, None), (None, 3, None), (2, 3, -0.0), (8, 4, 0.0), (9, 4, -0.0), (3, 4, 0.0)]
     like_its_sql(spark, tmp_path, "lateral_topn", customer=("c_custkey bigint", [(c,) for c in (1, 2, 2, 3, 4, 5, None)]), orders=("o_orderkey bigint, o_custkey bigint, o_totalprice double", orders + [(k, 6, None) for k in (1, 2, 3)]))
+
+
+def test_salted_join_broadcasts_nothing(spark, sf_dir):
+    p = plan(QUERIES["join_salted"](spark, sf_dir))
+    assert "ShuffledHashJoin" in p and "Broadcast" not in p
+
+
+def test_salted_join_of_hot_and_null_keys(spark, tmp_path):
+    lines = [(i, 1, 1) for i in range(200)] + [(i, 2, 1) for i in range(3)] + [(1, None, 1), (None, 2, None), (5, 9, 1)]
+    parts = [(1, "a"), (1, "b"), (2, None), (3, "c"), (None, "d")]
+    like_its_sql(spark, tmp_path, "join_salted", lineitem=("l_orderkey bigint, l_partkey bigint, l_linenumber int", lines), part=("p_partkey bigint, p_brand string", parts))
